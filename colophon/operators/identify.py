@@ -11,7 +11,9 @@ from colophon.functions import isbn, text as tx
 
 NO_TEXT = "no texts extracted"
 
-_NO_ISBNS = F.array().cast("array<string>")
+
+def _or_none(isbns: Column) -> Column:
+    return F.coalesce(isbns, F.array().cast("array<string>"))
 
 
 def supported(files: DataFrame) -> DataFrame:
@@ -47,7 +49,7 @@ def extract_terms(
     return numbers.select(
         "filepath",
         *[
-            F.coalesce(isbn.isbns_of(F.col("numbers"), kind, strict_length), _NO_ISBNS).alias(name)
+            _or_none(isbn.isbns_of(F.col("numbers"), kind, strict_length)).alias(name)
             for kind, name in (("isbn10", "isbn10s"), ("isbn13", "isbn13s"))
         ],
         F.when(~F.col("enough"), NO_TEXT).alias("error"),
@@ -81,7 +83,7 @@ def gather_terms(extracted: list[DataFrame]) -> DataFrame:
     parts = [F.col(f"terms_{i}") for i in range(len(extracted))]
 
     def appended(name: str) -> Column:
-        return F.concat(*[F.coalesce(p[name], _NO_ISBNS) for p in parts]).alias(name)
+        return F.concat(*[_or_none(p[name]) for p in parts]).alias(name)
 
     return per_extractor.select(
         "filepath",

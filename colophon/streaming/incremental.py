@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from colophon.operators.incremental import BROADCAST_BYTES
@@ -13,10 +14,9 @@ from colophon.schemas import BOOK
 from colophon.sources.shared import materialize
 
 
-
 def read_output(spark: SparkSession, path: str) -> DataFrame:
     """Books of all finished batches, with the number of their ``batch``."""
-    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in BOOK)}, batch bigint"
+    schema = T.StructType([*BOOK, T.StructField("batch", T.LongType())])
     return spark.read.schema(schema).option("basePath", path).parquet(path)
 
 
