@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,13 +79,45 @@ def isbn13_valid(s: Column) -> Column:
     return _check_sum(s, term) % 10 == 0
 
 
+def _written_out(s: Column, weights: list[int]) -> Column:
+    """Weighted sum of the first ``len(weights)`` digits."""
+    digits = [F.ascii(F.substr(s, F.lit(i + 1), F.lit(1))) - 48 for i in range(len(weights))]
+    return reduce(lambda a, b: a + b, [w * d for w, d in zip(weights, digits) if w])
+
+
+def _candidate10_valid(s: Column) -> Column:
+    """P6 for the two lengths of a candidate, without a loop over positions."""
+    x_last = F.endswith(s, F.lit("X"))
+
+    def check(n):
+        weights = list(range(10, 10 - n, -1))
+        return (
+            F.when(x_last, _written_out(s, weights[:-1]) + 10).otherwise(_written_out(s, weights))
+            % 11
+            == 0
+        )
+
+    return F.when(F.length(s) == 10, check(10)).otherwise(check(13))
+
+
+def _candidate13_valid(s: Column) -> Column:
+    """P7 for the two lengths of a candidate."""
+    weights = [1, 3] * 6 + [1]
+    return F.when(F.length(s) == 10, _written_out(s, weights[:10]) % 10 == 0).otherwise(
+        _written_out(s, weights) % 10 == 0
+    )
+
+
 def keep_valid(isbns: Column, kind: str) -> Column:
     """The valid identifiers of a list; order and duplicates are kept."""
     return F.filter(isbns, isbn10_valid if kind == "isbn10" else isbn13_valid)
 
 
 def candidate_numbers(text: Column) -> Column:
-    """Cleaned runs of ``text`` long enough for an ISBN, in text order."""
+    """Cleaned runs of ``text`` long enough for an ISBN, in text order.
+
+    They consist of digits, with perhaps an X at the end.
+    """
     cleaned = F.transform(
         F.regexp_extract_all(text, F.lit(_ANY_RUN), F.lit(0)), strip_separators
     )
@@ -96,13 +130,15 @@ def isbns_of(numbers: Column, kind: str, strict_length: bool = False) -> Column:
     An X behind a run belongs to the ISBN-10 reading only; the ISBN-13 reading
     ends at the last digit.
     """
+    valid = _candidate10_valid
     if kind == "isbn13":
         numbers = F.transform(numbers, lambda s: F.rtrim(s, F.lit("X")))
-    found = keep_valid(F.filter(numbers, is_candidate), kind)
-    if strict_length:
-        wanted = 10 if kind == "isbn10" else 13
-        found = F.filter(found, lambda s: F.length(s) == wanted)
-    return found
+        valid = _candidate13_valid
+    lengths = (10, 13) if not strict_length else (int(kind[-2:]),)
+    # P5, P6/P7 and P8; the characters are known to fit
+    return F.filter(
+        numbers, lambda s: F.length(s).isin(*lengths) & ~s.isin(BAD_ISBNS) & valid(s)
+    )
 
 
 def identify_isbn10s(text: Column, strict_length: bool = False) -> Column:
