@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Blanks and hyphen that may stand inside an identifier.
@@ -79,73 +77,62 @@ def isbn13_valid(s: Column) -> Column:
     return _check_sum(s, term) % 10 == 0
 
 
-def _written_out(s: Column, weights: list[int]) -> Column:
-    """Weighted sum of the first ``len(weights)`` digits."""
-    digits = [F.ascii(F.substr(s, F.lit(i + 1), F.lit(1))) - 48 for i in range(len(weights))]
-    return reduce(lambda a, b: a + b, [w * d for w, d in zip(weights, digits) if w])
-
-
-def _candidate10_valid(s: Column) -> Column:
-    """P6 for the two lengths of a candidate, without a loop over positions."""
-    x_last = F.endswith(s, F.lit("X"))
-
-    def check(n):
-        weights = list(range(10, 10 - n, -1))
-        return (
-            F.when(x_last, _written_out(s, weights[:-1]) + 10).otherwise(_written_out(s, weights))
-            % 11
-            == 0
-        )
-
-    return F.when(F.length(s) == 10, check(10)).otherwise(check(13))
-
-
-def _candidate13_valid(s: Column) -> Column:
-    """P7 for the two lengths of a candidate."""
-    weights = [1, 3] * 6 + [1]
-    return F.when(F.length(s) == 10, _written_out(s, weights[:10]) % 10 == 0).otherwise(
-        _written_out(s, weights) % 10 == 0
-    )
-
-
 def keep_valid(isbns: Column, kind: str) -> Column:
     """The valid identifiers of a list; order and duplicates are kept."""
     return F.filter(isbns, isbn10_valid if kind == "isbn10" else isbn13_valid)
 
 
-def candidate_numbers(text: Column) -> Column:
-    """Cleaned runs of ``text`` long enough for an ISBN, in text order.
+def _check_sql(kind: str, length: int) -> str:
+    """P6 or P7 for a candidate of known length, written out over its digits."""
+    if kind == "isbn10":
+        weights = range(10, 10 - length, -1)
+    else:
+        weights = [3 if i % 2 else 1 for i in range(length)]
+    digits = [f"{w}*(ascii(substr(s,{i},1))-48)" for i, w in enumerate(weights, 1)]
+    total = " + ".join(digits)
+    if kind == "isbn13":
+        return f"({total}) % 10 = 0"
+    ended = " + ".join([*digits[:-1], "10"])
+    return f"if(endswith(s, 'X'), {ended}, {total}) % 11 = 0"
+
+
+def candidate_numbers(text: str) -> Column:
+    """Cleaned runs of the column ``text`` long enough for an ISBN, in text order.
 
     They consist of digits, with perhaps an X at the end.
     """
-    cleaned = F.transform(
-        F.regexp_extract_all(text, F.lit(_ANY_RUN), F.lit(0)), strip_separators
-    )
-    return F.filter(cleaned, lambda s: F.length(s).between(10, 14))
+    runs = f"regexp_extract_all({text}, r'{_ANY_RUN}', 0)"
+    cleaned = f"transform({runs}, s -> upper(translate(s, '{SEPARATORS}', '')))"
+    return F.expr(f"filter({cleaned}, s -> length(s) between 10 and 14)")
 
 
-def isbns_of(numbers: Column, kind: str, strict_length: bool = False) -> Column:
-    """H4 on the output of ``candidate_numbers``.
+def isbns_of(numbers: str, kind: str, strict_length: bool = False) -> Column:
+    """H4 on a column of ``candidate_numbers``: P5, P6/P7 and P8.
 
     An X behind a run belongs to the ISBN-10 reading only; the ISBN-13 reading
-    ends at the last digit.
+    ends at the last digit. (SQL text: the same in Column calls takes a second
+    to put together.)
     """
-    valid = _candidate10_valid
     if kind == "isbn13":
-        numbers = F.transform(numbers, lambda s: F.rtrim(s, F.lit("X")))
-        valid = _candidate13_valid
-    lengths = (10, 13) if not strict_length else (int(kind[-2:]),)
-    # P5, P6/P7 and P8; the characters are known to fit
-    return F.filter(
-        numbers, lambda s: F.length(s).isin(*lengths) & ~s.isin(BAD_ISBNS) & valid(s)
+        numbers = f"transform({numbers}, s -> rtrim('X', s))"
+    if strict_length:
+        numbers = f"filter({numbers}, s -> length(s) = {int(kind[-2:])})"
+    bad = ", ".join(f"'{s}'" for s in BAD_ISBNS)
+    return F.expr(
+        f"""filter({numbers}, s -> s not in ({bad}) and
+            case length(s) when 10 then {_check_sql(kind, 10)}
+                           when 13 then {_check_sql(kind, 13)} else false end)"""
     )
 
 
-def identify_isbn10s(text: Column, strict_length: bool = False) -> Column:
-    """H4: ISBN-10s of ``text``; the length is not checked unless asked for."""
-    return isbns_of(candidate_numbers(text), "isbn10", strict_length)
-
+def identify_isbns(df: DataFrame, text: str = "text", strict_length: bool = False) -> DataFrame:
+    """H4: replace the column ``text`` by ``isbn10s`` and ``isbn13s``.
 
-def identify_isbn13s(text: Column, strict_length: bool = False) -> Column:
-    """H4: ISBN-13s of ``text``; the length is not checked unless asked for."""
-    return isbns_of(candidate_numbers(text), "isbn13", strict_length)
+    The length of an ISBN is not checked unless asked for.
+    """
+    others = [c for c in df.columns if c != text]
+    numbers = df.select(*others, candidate_numbers(text).alias("numbers"))
+    return numbers.select(
+        *others,
+        *[isbns_of("numbers", k, strict_length).alias(f"{k}s") for k in ("isbn10", "isbn13")],
+    )

@@ -40,19 +40,17 @@ def extract_terms(
     if "error" in texts.columns:
         enough = enough & F.col("error").isNull()
     window = tx.truncate_bytes(text, max_bytes) if max_bytes else text
-    numbers = texts.select(
+    windows = texts.select(
         "filepath",
-        enough.alias("enough"),
-        # one pass of the regular expression serves both kinds
-        isbn.candidate_numbers(F.when(enough, window)).alias("numbers"),
+        F.when(~enough, NO_TEXT).alias("error"),
+        F.when(enough, window).alias("text"),
     )
-    return numbers.select(
+    found = isbn.identify_isbns(windows, "text", strict_length)
+    return found.select(
         "filepath",
-        *[
-            _or_none(isbn.isbns_of(F.col("numbers"), kind, strict_length)).alias(name)
-            for kind, name in (("isbn10", "isbn10s"), ("isbn13", "isbn13s"))
-        ],
-        F.when(~F.col("enough"), NO_TEXT).alias("error"),
+        _or_none(F.col("isbn10s")).alias("isbn10s"),
+        _or_none(F.col("isbn13s")).alias("isbn13s"),
+        "error",
     )
 
 

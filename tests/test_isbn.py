@@ -24,14 +24,10 @@ PAGE = (
 def identify(spark, texts):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     t = F.col("text")
-    rows = df.select(
-        "i",
-        isbn.identify_isbn10s(t).alias("isbn10s"),
-        isbn.identify_isbn13s(t).alias("isbn13s"),
-        isbn.find_runs(t, "isbn10").alias("runs10"),
-        isbn.find_runs(t, "isbn13").alias("runs13"),
-    ).collect()
-    return sorted(rows)
+    with_runs = df.select(
+        "*", isbn.find_runs(t, "isbn10").alias("runs10"), isbn.find_runs(t, "isbn13").alias("runs13")
+    )
+    return sorted(isbn.identify_isbns(with_runs).collect())
 
 
 def checks(spark, numbers):
@@ -162,10 +158,7 @@ def test_valid_isbns_are_found_and_changed_ones_are_not(spark, cases):
 
 def test_strict_length(spark):
     df = spark.createDataFrame([("9780306564536; 3-16-148410-0",)], "t string")
-    row = df.select(
-        isbn.identify_isbn10s(F.col("t"), strict_length=True), isbn.identify_isbn13s(F.col("t"), strict_length=True)
-    ).first()
-    assert list(row) == [[], ["9780306564536"]]
+    assert list(isbn.identify_isbns(df, "t", strict_length=True).first()) == [[], ["9780306564536"]]
 
 
 def test_long_blank_runs_stay_linear(spark):

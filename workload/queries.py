@@ -57,12 +57,8 @@ def page_isbns(spark: SparkSession, sf: str) -> DataFrame:
     pages = wc.table(spark, sf, "pages").select(
         "page_id", tx.html_to_text(F.col("html")).alias("text")
     )
-    return pages.select(
-        "page_id",
-        F.md5("text").alias("text_md5"),
-        F.array_join(isbn.identify_isbn10s(F.col("text")), "|").alias("isbn10s"),
-        F.array_join(isbn.identify_isbn13s(F.col("text")), "|").alias("isbn13s"),
-    )
+    found = isbn.identify_isbns(pages.withColumn("text_md5", F.md5("text")))
+    return found.select("page_id", "text_md5", _joined("isbn10s"), _joined("isbn13s"))
 
 
 def identifier_checks(spark: SparkSession, sf: str) -> DataFrame:
