@@ -111,3 +111,13 @@ def lookup_terms(terms: DataFrame) -> DataFrame:
     return terms.select("filepath", F.posexplode(terms_col).alias("ord", "term")).select(
         "filepath", "ord", "term.kind", "term.isbn"
     )
+
+
+def asked_isbns(terms: DataFrame) -> DataFrame:
+    """O3 for a run: ``(filepath, ord, isbn)`` with each ISBN of a file once.
+
+    A number in the footer of every page is one lookup. ``ord`` keeps the order
+    of first occurrence, which is all that choosing the best result needs.
+    """
+    isbns = F.array_distinct(F.concat("isbn10s", "isbn13s"))
+    return terms.select("filepath", F.posexplode(isbns).alias("ord", "isbn"))

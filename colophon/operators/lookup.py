@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from colophon.functions.distance import title_distance
 from colophon.functions.text import basename
 from colophon.operators.skew import salted_left_join
+from colophon.sources.shared import materialize
 
 NOT_ANSWERED = "not answered"
 
@@ -41,8 +42,8 @@ def nearest_over_chunks(matched: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def distinct_isbns(terms: DataFrame) -> DataFrame:
-    """Every ISBN once, however many files ask for it."""
-    return terms.select("isbn").distinct()
+    """Every ISBN once, with ``uses``, however many files ask for it."""
+    return terms.groupBy("isbn").agg(F.count(F.lit(1)).alias("uses"))
 
 
 def lookup(
@@ -106,7 +107,12 @@ def failed_providers(lookups: DataFrame) -> DataFrame:
 
 
 def provider_gate(lookups: DataFrame) -> DataFrame:
-    """A3: drop everything a provider returned for a file it failed once."""
+    """A3: drop everything a provider returned for a file it failed once.
+
+    The lookups are written first: they are read twice, and a window over a
+    file's lookups would put a file with very many of them into one task.
+    """
+    lookups, _ = materialize(lookups, "lookups")
     return lookups.join(failed_providers(lookups), ["filepath", "provider"], "left_anti")
 
 

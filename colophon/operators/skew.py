@@ -16,7 +16,7 @@ def hot_keys(
 ) -> DataFrame | None:
     """Keys of ``counts`` (key columns and ``n``) to be split, with ``parts``.
 
-    ``total`` is the sum of ``n``. None if no key can be hot.
+    ``total`` is at least the sum of ``n``. None if no key can be hot.
     """
     if total <= min_rows:
         return None

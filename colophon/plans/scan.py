@@ -114,9 +114,9 @@ def scan(
     """Identify the books in ``texts``.
 
     ``texts`` is ``(filepath, text[, error])``, or a list of such tables, one
-    per extractor. ``cache`` holds books of earlier runs: they are kept and
-    their files skipped, with ``retry`` only those without an error. A
-    ``dry_run`` stops before the lookups. The reference's own limits are
+    per extractor. ``cache`` holds the books of earlier runs, each path once (see
+    ``emit_once``): they are kept and their files skipped, with ``retry`` only
+    those without an error. A ``dry_run`` stops before the lookups. The reference's own limits are
     ``max_bytes=10_000``; by default whole texts are searched. ``answers`` from
     ``answer_table`` saves reading the providers again.
     """
@@ -129,7 +129,6 @@ def scan(
     if cache is not None:
         cache = cache.select(*BOOK.fieldNames())
         cache = incremental.drop_failed(cache) if retry else cache
-        cache = incremental.emit_once(cache)
 
     def extract(table: DataFrame) -> DataFrame:
         table, fresh = identify.supported(table), None
@@ -147,11 +146,11 @@ def scan(
     if dry_run:
         return ScanResult(outcomes.failed_extraction(extracted), searched, answers, cache)
 
-    terms = identify.lookup_terms(searched).drop("kind")
+    terms = identify.asked_isbns(searched)
+    demand = lookup.distinct_isbns(terms)
     if answers is None:
-        answers = answer_table(providers, lookup.distinct_isbns(terms))
-    counts = terms.groupBy("isbn").agg(F.count(F.lit(1)).alias("n"))
-    hot = hot_keys(counts, seen["terms"] or 0, hot_rows)
+        answers = answer_table(providers, demand.select("isbn"))
+    hot = hot_keys(demand.withColumnRenamed("uses", "n"), seen["terms"] or 0, hot_rows)
     if hot is not None:
         hot, _ = materialize(hot, "hot-isbns")
     decided = _decide(extracted, terms, answers, providers, hot)

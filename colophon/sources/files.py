@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colophon.functions import text as tx
+from colophon.operators import incremental
 from colophon.operators.incremental import skip_processed
 from colophon.sources.shared import materialize
 
-# New files are opened by name up to this many; beyond it the folder is read
-# whole and the known files are dropped afterwards.
+# New files are opened by name up to this many.
 MAX_NAMED_PATHS = 10_000
 
 Extractor = Callable[[DataFrame], DataFrame]
@@ -40,24 +40,34 @@ def scan_files(spark: SparkSession, root: str | list[str]) -> DataFrame:
 
 
 def read_contents(spark: SparkSession, root: str | list[str], cache: DataFrame | None = None) -> DataFrame:
-    """``(filepath, content)`` of the accepted files that are not in the cache."""
-    contents = _binary(spark, root, tx.ACCEPTED_EXTENSIONS).select("path", "filepath", "content")
+    """``(filepath, content)`` of the accepted files below ``root``.
+
+    With a cache, known files are left out wherever that does not shuffle
+    contents: few new files are opened by name, more are picked by a broadcast
+    of their paths. If even the new paths are too many for that, all files are
+    returned, and ``scan`` drops the known ones by their terms.
+    """
+    contents = _binary(spark, root, tx.ACCEPTED_EXTENSIONS).select("filepath", "content")
     if cache is None:
-        return contents.drop("path")
+        return contents
     listed = _binary(spark, root, tx.ACCEPTED_EXTENSIONS).select("path", "filepath")
     fresh, seen = materialize(
         skip_processed(listed, cache),
         "fresh-files",
         n=F.count(F.lit(1)),
+        bytes=F.sum(F.octet_length("path")),
         # characters that a path pattern would read as wildcards
         odd=F.count_if(F.col("path").rlike(r"[*?\[\]{}\\,]")),
     )
     if seen["n"] == 0:
-        return contents.drop("path").limit(0)
+        return contents.limit(0)
     if seen["n"] <= MAX_NAMED_PATHS and not seen["odd"]:
         paths = [r.path for r in fresh.select("path").distinct().collect()]
         return _binary(spark, paths, tx.ACCEPTED_EXTENSIONS).select("filepath", "content")
-    return contents.drop("path").join(fresh.select("filepath").distinct(), "filepath", "left_semi")
+    if seen["bytes"] <= incremental.BROADCAST_BYTES:
+        new_paths = F.broadcast(fresh.select("filepath").distinct())
+        return contents.join(new_paths, "filepath", "left_semi")
+    return contents
 
 
 def native_text(contents: DataFrame) -> DataFrame:

@@ -153,6 +153,14 @@ def test_two_extractors(spark, corpus, google):
     assert got["/b/none.txt"] == EXPECTED["/b/none.txt"]
 
 
+def test_a_repeated_isbn_is_asked_once(spark, google):
+    df = texts(spark, [("/b/hit.pdf", f"{B}; {A}; " * 2000), ("/b/x.pdf", f"{A}; " * 2000)])
+    result = scan(df, [google])
+    assert errors(result) == {"/b/hit.pdf": ("", collate.NO_RESULTS), "/b/x.pdf": ("hit", None)}
+    asked = identify.asked_isbns(result.search_terms)
+    assert {tuple(r) for r in asked.collect()} == {("/b/hit.pdf", 0, B), ("/b/hit.pdf", 1, A), ("/b/x.pdf", 0, A)}
+
+
 def test_a_path_given_twice_is_written_once(corpus, google):
     assert errors(scan(corpus.unionByName(corpus), [google])) == EXPECTED
 

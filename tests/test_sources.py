@@ -57,6 +57,17 @@ def test_only_new_files_are_read(spark, library, monkeypatch, named):
     assert src.read_contents(spark, str(library), done).count() == 0
 
 
+def test_very_many_new_files_are_left_to_the_scan(spark, library, monkeypatch):
+    monkeypatch.setattr(src, "MAX_NAMED_PATHS", 0)
+    monkeypatch.setattr("colophon.operators.incremental.BROADCAST_BYTES", 0)
+    cache = books(spark, {"filepath": f"{library}/a.txt"})
+    texts = src.extract_files(spark, str(library), cache=cache)
+    provider = Provider("google", responses(spark, [(A, 200, body("T"))]))
+    assert set(by_path(scan(texts, [provider], cache=cache).outcomes, "status")) == {
+        f"{library}/{n}" for n in ("deep/b c.html", "deep/er/d.pdf", "g.rst")
+    }
+
+
 def test_names_with_wildcards(spark, library):
     (library / "h[1]{x}*.txt").write_text("x")
     cache = books(spark, *[{"filepath": f"{library}/{n}"} for n in ("a.txt", "g.rst", "deep/b c.html", "deep/er/d.pdf")])

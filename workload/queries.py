@@ -209,10 +209,7 @@ def lookup_outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
 def lookup_cache(spark: SparkSession, sf: str) -> DataFrame:
     """Each ISBN is requested once, however often it is used."""
-    terms = lookup_terms(spark, sf)
-    return lookup.distinct_isbns(terms).join(
-        terms.groupBy("isbn").agg(F.count(F.lit(1)).alias("uses")), "isbn"
-    )
+    return lookup.distinct_isbns(lookup_terms(spark, sf))
 
 
 def title_match(spark: SparkSession, sf: str) -> DataFrame:
