@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Observation, SparkSession
 
 from colophon import Provider, scan
 from colophon.operators.incremental import drop_failed, emit_once
@@ -55,7 +55,7 @@ def run(spark: SparkSession, options: argparse.Namespace) -> None:
     else:
         texts = spark.read.schema("filepath string, text string").parquet(options.texts)
     rows = read_responses(spark, options.responses, options.responses_layout)
-    providers = [Provider(p, rows.where(rows.provider == p)) for p in options.providers]
+    providers = [Provider(p, rows) for p in options.providers]
     result = scan(
         texts,
         providers,
@@ -66,7 +66,9 @@ def run(spark: SparkSession, options: argparse.Namespace) -> None:
         min_bytes=options.min_bytes,
         answers=answer_table(providers),
     )
-    write_books(result.books(options.compat), options.output, options.layout)
+    counts = Observation("outcomes")
+    write_books(result.observed(counts).books(options.compat), options.output, options.layout)
+    print(counts.get)
     if options.requests:
         result.plan_lookups(budget=options.budget).write.mode("errorifexists").json(options.requests)
 

@@ -8,10 +8,10 @@ fetched only for the one ISBN that won for a file.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from colophon.functions.records import has_confidence
@@ -28,7 +28,8 @@ class Provider:
     """Where ISBNs are looked up.
 
     ``responses`` is a table ``(isbn, status, body)`` or a function from the
-    distinct ISBNs to one; ``volumes`` is a catalogue. ``missing`` says what an
+    distinct ISBNs to one; of a table with a column ``provider`` only this
+    provider's rows count. ``volumes`` is a catalogue. ``missing`` says what an
     ISBN without a row means: ``"error"`` (responses) or ``"zero_hit"``
     (catalogues).
     """
@@ -54,6 +55,8 @@ class Provider:
         if self.volumes is not None:
             return an.catalogue_answers(self.volumes, self.name, provider_ord, self.confidence)
         rows = self.responses(isbns) if callable(self.responses) else self.responses
+        if "provider" in rows.columns:
+            rows = rows.where(F.col("provider") == self.name)
         return an.response_answers(rows, self.name, provider_ord, self.confidence)
 
 
@@ -76,6 +79,10 @@ class ScanResult:
         """Files per stage and status."""
         return outcomes.run_summary(self.outcomes)
 
+    def observed(self, observation: Observation) -> ScanResult:
+        """The same run, its counts noted in ``observation`` as it is written."""
+        return replace(self, outcomes=outcomes.observe_outcomes(self.outcomes, observation))
+
     def plan_lookups(self, answers: DataFrame | None = None, budget: int | None = None) -> DataFrame:
         """ISBNs worth requesting (L1), given answers or those of the run."""
         known = self.answers if answers is None else answers

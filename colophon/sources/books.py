@@ -73,7 +73,7 @@ def read_books(spark: SparkSession, path: str, layout: str = "lines", whole: boo
     file is scanned again.
     """
     if layout == "lines":
-        return spark.read.schema(BOOK).json(path)
+        return spark.read.schema(BOOK).option("mode", "FAILFAST").json(path)
     if layout == "parquet":
         return spark.read.schema(BOOK).parquet(path)
     if layout != "object":

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -26,6 +28,7 @@ def identify_stream(
     path: str,
     checkpoint: str,
     trigger: dict | None = None,
+    on_batch: Callable[[int, dict], None] | None = None,
     **options,
 ) -> StreamingQuery:
     """Write one book or error per new file of the stream ``texts``.
@@ -34,6 +37,8 @@ def identify_stream(
     repeated batch writes its own folder anew and looks only at the folders of
     batches before it, so a restart neither loses nor doubles a file. Provider
     tables are read once; with a provider function they are asked per batch.
+    ``on_batch`` is told the counts of each batch (A6). Other options are those
+    of ``scan``.
     """
     spark = texts.sparkSession
     asked_per_batch = any(callable(p.responses) for p in providers)
@@ -42,7 +47,11 @@ def identify_stream(
     def process(batch: DataFrame, batch_id: int) -> None:
         done = None if batch_id == 0 else earlier_books(batch, batch_id)
         result = scan(batch, providers, cache=done, answers=answers, **options)
-        books_of(result.outcomes).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        counts = Observation("outcomes")
+        books = books_of(result.observed(counts).outcomes)
+        books.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        if on_batch is not None:
+            on_batch(batch_id, counts.get)
 
     def earlier_books(batch: DataFrame, batch_id: int) -> DataFrame:
         # The batch is small and the output large: its paths are sent to the

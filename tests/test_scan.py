@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from colophon import Provider, scan
@@ -58,6 +59,19 @@ def test_every_file_has_one_outcome(corpus, google):
     assert (hit.authors, hit.isbn13, hit.publish_date) == (["by hit"], A, "2001")
 
 
+def test_counts_come_with_the_write(corpus, google, tmp_path):
+    counts = Observation("counts")
+    scan(corpus, [google]).observed(counts).books().write.parquet(str(tmp_path / "b"))
+    assert counts.get == {"files": 6, "ok": 2, "extract_failed": 1, "search_failed": 2, "collate_failed": 1}
+
+
+def test_a_shared_response_table(spark, corpus):
+    rows = [("g", A, 200, body("of g")), ("h", A, 200, body("of h")), ("h", C, 200, body())]
+    shared = spark.createDataFrame(rows, "provider string, isbn string, status int, body string")
+    got = [errors(scan(corpus, [Provider(n, shared, missing="zero_hit")]))["/b/hit.pdf"] for n in "gh"]
+    assert got == [("of g", None), ("of h", None)]
+
+
 def test_compat_writes_successes_and_extract_errors(corpus, google):
     kept = {p: e for p, e in EXPECTED.items() if e[1] in (None, identify.NO_TEXT)}
     assert errors(scan(corpus, [google]), compat=True) == kept

@@ -13,10 +13,10 @@ def stream(spark, tmp_path):
     provider = Provider("google", responses(spark, [(A, 200, body("T"))]))
     source, out, state = (str(tmp_path / n) for n in ("in", "out", "state"))
 
-    def run(rows, providers=(provider,)):
+    def run(rows, providers=(provider,), **options):
         texts(spark, rows).coalesce(1).write.mode("append").parquet(source)
         arriving = spark.readStream.schema(TEXTS).parquet(source)
-        identify_stream(arriving, list(providers), out, state).awaitTermination()
+        identify_stream(arriving, list(providers), out, state, **options).awaitTermination()
         return read_output(spark, out)
 
     return run
@@ -28,7 +28,9 @@ def test_files_are_written_once(stream):
     assert by_path(first, "batch", "error") == wanted
     second = stream([("/a.txt", "changed"), ("/e.txt", f"ISBN {A}"), ("/e.txt", f"ISBN {A}")])
     assert by_path(second, "batch", "error") == {**wanted, "/e.txt": (1, None)}
-    third = stream([("/a.txt", "again")])
+    seen = []
+    third = stream([("/a.txt", "again")], on_batch=lambda i, counts: seen.append((i, counts["files"])))
+    assert seen == [(2, 0)]
     assert by_path(third, "batch", "error") == {**wanted, "/e.txt": (1, None)}
 
 

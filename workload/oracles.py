@@ -328,6 +328,9 @@ ORACLES = {
                ',"filepath":"' || filepath || '"' ||
                coalesce(',"error":"' || error || '"', '') || '}}' as json
         from books""",
+    "file_scan": """
+        select page_id, '.txt' as ext, octet_length(encode(html))::bigint + 1 as n_bytes,
+               md5(html || chr(10)) as text_md5, null::varchar as error from pages""",
     "skip_processed": f"""
         with {_CORPUS}, {_CACHE}
         select filepath from files where filepath not in (select filepath from cached)""",

@@ -11,6 +11,7 @@ from colophon.functions.distance import title_distance
 from colophon.operators import answers, collate, identify, incremental, lookup
 from colophon.plans.scan import answer_table
 from colophon.sources import books as book_io
+from colophon.sources import files
 from colophon.sources.shared import shared_dir
 from colophon.streaming.incremental import identify_stream, read_output
 from workload import corpus as wc
@@ -375,6 +376,22 @@ def incremental_stream(spark: SparkSession, sf: str) -> DataFrame:
     return _flat(read_output(spark, out))
 
 
+def file_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page as a file of its own, listed and read."""
+    root = _new_dir(spark, "pages")
+    pages = wc.table(spark, sf, "pages").select("page_id", "html")
+    pages.repartition("page_id").write.partitionBy("page_id").text(root)
+    (read,) = files.extract_files(spark, root)
+    both = files.scan_files(spark, root).join(read, "filepath")
+    return both.select(
+        F.regexp_extract("filepath", "/page_id=([0-9]+)/", 1).cast("bigint").alias("page_id"),
+        tx.extension(F.col("filepath")).alias("ext"),
+        F.col("length").alias("n_bytes"),
+        F.md5("text").alias("text_md5"),
+        "error",
+    )
+
+
 def _new_dir(spark: SparkSession, name: str) -> str:
     from uuid import uuid4
 
@@ -419,7 +436,7 @@ QUERIES = {
         provider_gate, gather_results, choose_best, unidentified, plan_lookups,
         books_full, books_compat, books_two_providers, books_catalogue, books_cached,
         books_retried, outcomes_summary, dry_run, best_identifier, book_json,
-        object_round_trip, lines_round_trip, incremental_stream,
+        object_round_trip, lines_round_trip, incremental_stream, file_scan,
         skip_processed, retry_set, carry_through, processed_count,
     )
 }
