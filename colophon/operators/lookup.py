@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from colophon.functions.distance import title_distance
 from colophon.functions.text import basename
-from colophon.operators.skew import salted_left_join
+from colophon.operators.skew import MIN_HOT_ROWS, hot_keys, salted_left_join
 from colophon.sources.shared import materialize
 
 NOT_ANSWERED = "not answered"
@@ -46,53 +46,67 @@ def distinct_isbns(terms: DataFrame) -> DataFrame:
     return terms.groupBy("isbn").agg(F.count(F.lit(1)).alias("uses"))
 
 
+def hot_isbns(terms: DataFrame, hot_rows: int = MIN_HOT_ROWS) -> DataFrame | None:
+    """The ISBNs of written ``terms`` whose rows a join must deal over tasks."""
+    demand, seen = materialize(distinct_isbns(terms), "demand", total=F.sum("uses"))
+    return hot_keys(demand.withColumnRenamed("uses", "n"), seen["total"] or 0, hot_rows)
+
+
 def lookup(
     terms: DataFrame,
     answers: DataFrame,
-    provider: str,
-    provider_ord: int = 0,
-    missing: str = "error",
+    providers: list[tuple[str, str]],
     distance: str = "levenshtein",
     hot: DataFrame | None = None,
     chunked: bool = False,
 ) -> DataFrame:
-    """Every term with one provider's answer, matched to its own file.
+    """Every term with each provider's answer, matched to its own file.
 
-    An ISBN without an answer is a failed lookup, or a zero hit where the
-    provider's table is complete (``missing="zero_hit"``). ``chunked`` is for
-    catalogue answers.
+    ``providers`` are ``(name, missing)`` in rank order: an ISBN without an
+    answer is a failed lookup (``"error"``), or a zero hit where the provider's
+    table is complete (``"zero_hit"``). ``hot`` is from ``hot_isbns``;
+    ``chunked`` is for catalogue answers.
     """
-    if missing not in MISSING_MODES:
-        raise ValueError(f"unknown missing mode: {missing}")
+    for _, missing in providers:
+        if missing not in MISSING_MODES:
+            raise ValueError(f"unknown missing mode: {missing}")
+    asked = [
+        F.struct(
+            F.lit(k).alias("provider_ord"),
+            F.lit(name).alias("provider"),
+            F.lit(missing == "error").alias("missing_fails"),
+        )
+        for k, (name, missing) in enumerate(providers)
+    ]
     found = salted_left_join(
-        terms,
-        answers.where(F.col("provider_ord") == provider_ord).drop("provider", "provider_ord"),
-        ["isbn"],
+        terms.select("*", F.inline(F.array(*asked))),
+        answers.drop("provider"),
+        ["provider_ord", "isbn"],
         hot,
         F.struct("filepath", "ord"),
     )
-    absent = F.col("failed").isNull()
+    not_answered = F.col("failed").isNull() & F.col("missing_fails")
     matched = found.select(
         "filepath",
         "ord",
         "kind",
         "isbn",
-        F.coalesce("failed", F.lit(missing == "error")).alias("failed"),
-        F.when(absent & F.lit(missing == "error"), NOT_ANSWERED)
-        .otherwise(F.col("error"))
-        .alias("error"),
+        "provider",
+        "provider_ord",
+        F.coalesce("failed", "missing_fails").alias("failed"),
+        F.when(not_answered, NOT_ANSWERED).otherwise(F.col("error")).alias("error"),
         F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
         nearest_item(F.col("items"), basename(F.col("filepath")), distance).alias("match"),
     )
     if chunked:
-        matched = nearest_over_chunks(matched, ["filepath", "ord"])
+        matched = nearest_over_chunks(matched, ["filepath", "ord", "provider_ord"])
     return matched.select(
         "filepath",
         "ord",
         "kind",
         "isbn",
-        F.lit(provider).alias("provider"),
-        F.lit(provider_ord).alias("provider_ord"),
+        "provider",
+        "provider_ord",
         "failed",
         "error",
         "confidence",

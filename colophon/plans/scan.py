@@ -18,7 +18,7 @@ from colophon.functions.records import has_confidence
 from colophon.functions.text import basename
 from colophon.operators import answers as an
 from colophon.operators import collate, identify, incremental, lookup, outcomes
-from colophon.operators.skew import MIN_HOT_ROWS, hot_keys, salted_left_join
+from colophon.operators.skew import MIN_HOT_ROWS, salted_left_join
 from colophon.schemas import BOOK
 from colophon.sources.shared import materialize
 
@@ -154,12 +154,10 @@ def scan(
         return ScanResult(outcomes.failed_extraction(extracted), searched, answers, cache)
 
     terms = identify.asked_isbns(searched)
-    demand = lookup.distinct_isbns(terms)
     if answers is None:
-        answers = answer_table(providers, demand.select("isbn"))
-    hot = hot_keys(demand.withColumnRenamed("uses", "n"), seen["terms"] or 0, hot_rows)
-    if hot is not None:
-        hot, _ = materialize(hot, "hot-isbns")
+        answers = answer_table(providers, lookup.distinct_isbns(terms).select("isbn"))
+    # with so few terms no ISBN can be hot, and nothing needs counting
+    hot = lookup.hot_isbns(terms, hot_rows) if (seen["terms"] or 0) > hot_rows else None
     decided = _decide(extracted, terms, answers, providers, hot)
     return ScanResult(_outcomes(decided, answers, providers, hot, distance), searched, answers, cache)
 

@@ -93,15 +93,15 @@ def test_lookup_matches_each_file_by_its_own_name(spark):
         spark, [("/x/Dune.epub", 0, "isbn13", A), ("/x/Dune Messiah.epub", 0, "isbn13", A), ("/y", 0, "isbn13", B),
                 ("/y", 1, "isbn10", C), ("/z", 0, "isbn13", "9780000000002")],
     )
-    got = {(r.filepath, r.ord): r for r in lookup.lookup(asked, found, "google").collect()}
+    got = {(r.filepath, r.ord): r for r in lookup.lookup(asked, found, [("google", "error")]).collect()}
     assert got["/x/Dune.epub", 0].item.title == "Dune" and got["/x/Dune.epub", 0].item.ord == 1
     assert got["/x/Dune Messiah.epub", 0].item.title == "Dune Messiah"
     assert got["/y", 0].failed and not got["/y", 1].failed and got["/y", 1].confidence == 0
     assert got["/z", 0].failed and got["/z", 0].error == lookup.NOT_ANSWERED
-    lenient = lookup.lookup(asked, found, "google", missing="zero_hit").where("filepath = '/z'").first()
+    lenient = lookup.lookup(asked, found, [("google", "zero_hit")]).where("filepath = '/z'").first()
     assert not lenient.failed and lenient.confidence == 0
     with pytest.raises(ValueError):
-        lookup.lookup(asked, found, "google", missing="other")
+        lookup.lookup(asked, found, [("google", "other")])
 
 
 @pytest.mark.parametrize("chunk_titles", [1, 3, 1000])
@@ -117,7 +117,7 @@ def test_catalogue_equals_brute_force(spark, chunk_titles):
     found = an.catalogue_answers(spark.createDataFrame(volumes, VOLUMES), "cat", chunk_titles=chunk_titles)
     if chunk_titles == 1:
         assert found.where("isbn = 'hot'").count() > 1
-    matched = lookup.lookup(terms(spark, asked), found, "cat", missing="zero_hit", chunked=True)
+    matched = lookup.lookup(terms(spark, asked), found, [("cat", "zero_hit")], chunked=True)
     got = by_path(matched, "confidence", "distance", "item.ord")
     for path, _, _, isbn in asked:
         ranked = [
@@ -128,6 +128,23 @@ def test_catalogue_equals_brute_force(spark, chunk_titles):
         assert got[path] == ((100.0, *min(ranked)) if ranked else (0.0, None, None))
 
 
+def test_lookup_of_two_providers_with_a_hot_isbn(spark):
+    found = an.response_answers(responses(spark, [(A, 200, body("g"))]), "g").unionByName(
+        an.response_answers(responses(spark, [(A, 200, body("l")), (B, 500, None)]), "l", 1, 60.0)
+    )
+    asked = terms(spark, [(f"/{i}", 0, "isbn13", A if i % 3 else B) for i in range(90)])
+    assert lookup.hot_isbns(asked, 100) is None
+    hot = lookup.hot_isbns(asked, 20)
+    assert {tuple(r) for r in hot.collect()} == {(A, 3), (B, 2)}
+    providers = [("g", "error"), ("l", "zero_hit")]
+    plain, split = (lookup.lookup(asked, found, providers, hot=h) for h in (None, hot))
+    assert rows_of(split) == rows_of(plain)
+    got = {(r.filepath, r.provider): (r.failed, r.confidence) for r in split.collect()}
+    assert len(got) == 180
+    assert (got["/1", "g"], got["/1", "l"]) == ((False, 100.0), (False, 60.0))
+    assert (got["/0", "g"], got["/0", "l"]) == ((True, 0.0), (True, 0.0))
+
+
 # gate, choice, plan ---------------------------------------------------------
 
 

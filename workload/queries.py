@@ -12,7 +12,7 @@ from colophon.operators import answers, collate, identify, incremental, lookup
 from colophon.plans.scan import answer_table
 from colophon.sources import books as book_io
 from colophon.sources import files
-from colophon.sources.shared import shared_dir
+from colophon.sources.shared import materialize, shared_dir
 from colophon.streaming.incremental import identify_stream, read_output
 from workload import corpus as wc
 
@@ -187,20 +187,20 @@ def _library(spark: SparkSession, sf: str) -> Provider:
     )
 
 
-def _lookups(spark: SparkSession, sf: str) -> DataFrame:
-    found = answers.response_answers(wc.responses(spark, sf), "google")
-    return lookup.lookup(lookup_terms(spark, sf), found, "google")
+def _answered(spark: SparkSession, sf: str, found: DataFrame, providers, **options) -> DataFrame:
+    terms, _ = materialize(lookup_terms(spark, sf), "lookup-terms")
+    return lookup.lookup(terms, found, providers, hot=lookup.hot_isbns(terms), **options)
 
 
-def _library_lookups(spark: SparkSession, sf: str) -> DataFrame:
-    found = answers.response_answers(
-        wc.library_responses(spark, sf), "library", 1, LIBRARY_CONFIDENCE
-    )
-    return lookup.lookup(lookup_terms(spark, sf), found, "library", 1, missing="zero_hit")
+def _lookups(spark: SparkSession, sf: str) -> DataFrame:
+    found = answers.response_answers(wc.responses(spark, sf), "google")
+    return _answered(spark, sf, found, [("google", "error")])
 
 
 def _gated(spark: SparkSession, sf: str) -> DataFrame:
-    return lookup.provider_gate(_lookups(spark, sf).unionByName(_library_lookups(spark, sf)))
+    found = answer_table([_google(spark, sf), _library(spark, sf)])
+    both = _answered(spark, sf, found, [("google", "error"), ("library", "zero_hit")])
+    return lookup.provider_gate(both)
 
 
 def lookup_outcomes(spark: SparkSession, sf: str) -> DataFrame:
@@ -233,9 +233,7 @@ def identifiers_pivot(spark: SparkSession, sf: str) -> DataFrame:
 def catalogue_join(spark: SparkSession, sf: str) -> DataFrame:
     """Every term against a table of volumes."""
     found = answers.catalogue_answers(wc.catalogue(spark, sf), "catalogue")
-    matched = lookup.lookup(
-        lookup_terms(spark, sf), found, "catalogue", missing="zero_hit", chunked=True
-    )
+    matched = _answered(spark, sf, found, [("catalogue", "zero_hit")], chunked=True)
     return matched.select("filepath", "ord", "isbn", "item.title", "distance", "confidence")
 
 
