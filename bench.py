@@ -83,6 +83,7 @@ def main() -> None:
         run(make())
         seconds[name] = timed(make)
 
+    documents = wc.table(spark, SF_DIR, "documents").count()
     sf = re.search(r"sf([0-9.]+)/?$", SF_DIR)
     print(
         json.dumps(
@@ -94,6 +95,7 @@ def main() -> None:
                 "sf": float(sf.group(1)) if sf else SF_DIR,
                 "files": files,
                 "files_per_sec": {n: round(files / seconds[n]) for n in engine},
+                "documents_per_sec": round(documents / seconds["document_isbns"]),
             }
         )
     )

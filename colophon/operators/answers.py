@@ -131,7 +131,9 @@ def catalogue_answers(
     else:
         titles = titles.join(F.broadcast(many), "isbn", "left").withColumn(
             "chunk",
-            F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("title"), "parts")),
+            F.when(F.col("parts").isNull(), 0)
+            .otherwise(F.pmod(F.xxhash64("title"), "parts"))
+            .cast("int"),
         )
     item = F.struct(
         "volume.ord", "title", "volume.authors", "volume.isbn10",

@@ -49,7 +49,8 @@ def distinct_isbns(terms: DataFrame) -> DataFrame:
 def hot_isbns(terms: DataFrame, hot_rows: int = MIN_HOT_ROWS) -> DataFrame | None:
     """The ISBNs of written ``terms`` whose rows a join must deal over tasks."""
     demand, seen = materialize(distinct_isbns(terms), "demand", total=F.sum("uses"))
-    return hot_keys(demand.withColumnRenamed("uses", "n"), seen["total"] or 0, hot_rows)
+    hot = hot_keys(demand.withColumnRenamed("uses", "n"), seen["total"] or 0, hot_rows)
+    return None if hot is None else materialize(hot, "hot-isbns")[0]
 
 
 def lookup(

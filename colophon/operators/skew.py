@@ -38,8 +38,9 @@ def salted_left_join(
     if hot is None:
         return many.join(one, on, "left")
     hot_on = [c for c in hot.columns if c != "parts"]
+    dealt = F.pmod(F.xxhash64(spread), "parts").cast("int")
     many = many.join(F.broadcast(hot), hot_on, "left").withColumn(
-        "salt", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(spread), "parts"))
+        "salt", F.when(F.col("parts").isNull(), 0).otherwise(dealt)
     )
     one = one.join(F.broadcast(hot), hot_on, "left").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))

@@ -75,26 +75,24 @@ def test_title_distance(spark):
     assert distances(spark, [d[:2] for d in DISTANCES]) == [d[2:] for d in DISTANCES]
 
 
+def random_names(seed, letters, n):
+    rng = random.Random(seed)
+    word = lambda least: "".join(rng.choice(letters) for _ in range(rng.randint(least, 9)))
+    return [(word(0), word(1)) for _ in range(n)]
+
+
 def test_title_distance_random(spark):
-    rng = random.Random(5)
-    pairs = [
-        ("".join(rng.choice("abé ") for _ in range(rng.randint(0, 9))), "".join(rng.choice("abé.") for _ in range(rng.randint(1, 9))))
-        for _ in range(300)
-    ]
+    pairs = random_names(5, "abé. ", 300)
+    assert [t for t, _ in distances(spark, pairs)] == [brute.levenshtein(a, b) for a, b in pairs]
+
 
-    def compat(a, b):
-        # one shared row after the first, last bytes left out
-        a, b = a.encode(), b.encode()
-        above = list(range(len(b)))
-        for i in range(len(a) - 1):
-            row = above if i else [0] * len(b)
-            row[0] = i + 1
-            for j in range(len(b) - 1):
-                row[j + 1] = min(above[j + 1] + 1, row[j] + 1, above[j] + (a[i] != b[j]))
-            above = row
-        return above[-1]
-
-    assert distances(spark, pairs) == [(brute.levenshtein(a, b), compat(a, b)) for a, b in pairs]
+def test_compat_distance_counts_bytes(spark):
+    """Writing every byte as a letter of its own changes nothing."""
+    pairs = random_names(6, "abéñ€", 300)
+    seen = sorted({byte for pair in pairs for text in pair for byte in text.encode()})
+    letter = {byte: chr(ord("A") + i) for i, byte in enumerate(seen)}
+    spelled = [tuple("".join(letter[x] for x in text.encode()) for text in pair) for pair in pairs]
+    assert [c for _, c in distances(spark, pairs)] == [c for _, c in distances(spark, spelled)]
 
 
 def test_unknown_modes(spark):

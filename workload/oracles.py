@@ -254,7 +254,7 @@ ORACLES = {
         select isbn, 1::bigint, title, isbn10, isbn13, null::varchar from hits""",
     "catalogue_join": f"""
         with {_CATALOGUE}
-        select filepath, ord::int as ord, isbn, title, distance::int as distance, confidence
+        select filepath, ord::int as ord, isbn, title, coalesce(distance, -1)::int as distance, confidence
         from catalogue_lookups""",
     "provider_gate": f"""
         with {_LOOKUPS}
@@ -270,11 +270,11 @@ ORACLES = {
               order by (confidence > 0) desc, confidence desc, provider_ord, ord) as place from gated)
         select filepath,
                case when confidence > 0 then provider end as source_provider_name,
-               case when confidence > 0 then ord::int end as ord,
+               (case when confidence > 0 then ord else -1 end)::int as ord,
                case when confidence > 0 then title end as title,
                case when confidence > 0 then isbn10 end as isbn10,
                case when confidence > 0 then isbn13 end as isbn13,
-               case when confidence > 0 then confidence end as confidence
+               case when confidence > 0 then confidence else 0.0::double end as confidence
         from ranked where place = 1""",
     "unidentified": f"""
         with {_LOOKUPS}

@@ -234,7 +234,8 @@ def catalogue_join(spark: SparkSession, sf: str) -> DataFrame:
     """Every term against a table of volumes."""
     found = answers.catalogue_answers(wc.catalogue(spark, sf), "catalogue")
     matched = _answered(spark, sf, found, [("catalogue", "zero_hit")], chunked=True)
-    return matched.select("filepath", "ord", "isbn", "item.title", "distance", "confidence")
+    distance = F.coalesce("distance", F.lit(-1)).alias("distance")
+    return matched.select("filepath", "ord", "isbn", "item.title", distance, "confidence")
 
 
 def provider_gate(spark: SparkSession, sf: str) -> DataFrame:
@@ -261,7 +262,13 @@ def choose_best(spark: SparkSession, sf: str) -> DataFrame:
     """The most confident result of every file with results."""
     best = collate.choose_best(lookup.to_results(_gated(spark, sf)))
     return best.select(
-        "filepath", "source_provider_name", "ord", "title", "isbn10", "isbn13", "confidence"
+        "filepath",
+        "source_provider_name",
+        F.coalesce("ord", F.lit(-1)).alias("ord"),
+        "title",
+        "isbn10",
+        "isbn13",
+        F.coalesce("confidence", F.lit(0.0)).alias("confidence"),
     )
 
 
