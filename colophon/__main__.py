@@ -1,8 +1,10 @@
 """Spark job for one run over a folder or a table of texts.
 
-    spark-submit colophon/__main__.py --scan /books --responses /responses --output /out
+    python -m colophon --scan /books --responses /responses --output /out
     ... --cache /out --retry --output /out2
     ... --dry-run --requests /plan --output /out3
+
+With ``spark-submit`` the package goes along as ``--py-files``.
 """
 
 from __future__ import annotations
@@ -74,4 +76,5 @@ def run(spark: SparkSession, options: argparse.Namespace) -> None:
 
 
 if __name__ == "__main__":
-    run(SparkSession.builder.appName("colophon").getOrCreate(), parse())
+    options = parse()
+    run(SparkSession.builder.appName("colophon").getOrCreate(), options)

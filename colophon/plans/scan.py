@@ -88,7 +88,7 @@ class ScanResult:
         known = self.answers if answers is None else answers
         if known is None:
             raise ValueError("a dry run has no answers: give those that are known")
-        return lookup.plan_lookups(identify.lookup_terms(self.search_terms), known, budget)
+        return lookup.plan_lookups(identify.asked_isbns(self.search_terms), known, budget)
 
 
 def enabled_providers(providers: list[Provider]) -> list[Provider]:

@@ -23,6 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """An unused path in the shared folder, below a folder of this application."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType) for f in schema])
 
@@ -34,7 +39,7 @@ def materialize(df: DataFrame, name: str, **metrics) -> tuple[DataFrame, dict]:
     behind it) and has a known size, on which the choice of joins rests.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     observed = {}
     if metrics:
         observation = Observation(name)

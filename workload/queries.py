@@ -12,7 +12,7 @@ from colophon.operators import answers, collate, identify, incremental, lookup
 from colophon.plans.scan import answer_table
 from colophon.sources import books as book_io
 from colophon.sources import files
-from colophon.sources.shared import materialize, shared_dir
+from colophon.sources.shared import materialize, new_path
 from colophon.streaming.incremental import identify_stream, read_output
 from workload import corpus as wc
 
@@ -356,21 +356,21 @@ def book_json(spark: SparkSession, sf: str) -> DataFrame:
 
 def object_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """All books written as one JSON object and read back."""
-    path = _new_dir(spark, "books.json")
+    path = new_path(spark, "books.json")
     book_io.write_books(_scan(spark, sf).books(), path, layout="object")
     return _flat(book_io.read_books(spark, path, layout="object"))
 
 
 def lines_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     """All books written as JSON Lines and read back."""
-    path = _new_dir(spark, "books.jsonl")
+    path = new_path(spark, "books.jsonl")
     book_io.write_books(_scan(spark, sf).books(), path)
     return _flat(book_io.read_books(spark, path))
 
 
 def incremental_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The corpus arriving in several batches."""
-    source, out, checkpoint = (_new_dir(spark, n) for n in ("in", "out", "state"))
+    source, out, checkpoint = (new_path(spark, n) for n in ("in", "out", "state"))
     texts = wc.texts(spark, sf)
     texts.repartition(4, "filepath").write.parquet(source)
     arriving = spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", 2).parquet(source)
@@ -383,7 +383,7 @@ def incremental_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 def file_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Every page as a file of its own, listed and read."""
-    root = _new_dir(spark, "pages")
+    root = new_path(spark, "pages")
     pages = wc.table(spark, sf, "pages").select("page_id", "html")
     pages.repartition("page_id").write.partitionBy("page_id").text(root)
     (read,) = files.extract_files(spark, root)
@@ -397,12 +397,6 @@ def file_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _new_dir(spark: SparkSession, name: str) -> str:
-    from uuid import uuid4
-
-    return f"{shared_dir(spark)}/workload-{uuid4().hex}-{name}"
-
-
 # incremental operators ------------------------------------------------------
 
 
