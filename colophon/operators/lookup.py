@@ -46,8 +46,15 @@ def distinct_isbns(terms: DataFrame) -> DataFrame:
     return terms.groupBy("isbn").agg(F.count(F.lit(1)).alias("uses"))
 
 
-def hot_isbns(terms: DataFrame, hot_rows: int = MIN_HOT_ROWS) -> DataFrame | None:
-    """The ISBNs of written ``terms`` whose rows a join must deal over tasks."""
+def hot_isbns(
+    terms: DataFrame, hot_rows: int = MIN_HOT_ROWS, at_most: int | None = None
+) -> DataFrame | None:
+    """The ISBNs of written ``terms`` whose rows a join must deal over tasks.
+
+    If there are ``at_most`` so few rows that none can be hot, none is counted.
+    """
+    if at_most is not None and at_most <= hot_rows:
+        return None
     demand, seen = materialize(distinct_isbns(terms), "demand", total=F.sum("uses"))
     hot = hot_keys(demand.withColumnRenamed("uses", "n"), seen["total"] or 0, hot_rows)
     return None if hot is None else materialize(hot, "hot-isbns")[0]

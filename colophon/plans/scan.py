@@ -156,8 +156,7 @@ def scan(
     terms = identify.asked_isbns(searched)
     if answers is None:
         answers = answer_table(providers, lookup.distinct_isbns(terms).select("isbn"))
-    # with so few terms no ISBN can be hot, and nothing needs counting
-    hot = lookup.hot_isbns(terms, hot_rows) if (seen["terms"] or 0) > hot_rows else None
+    hot = lookup.hot_isbns(terms, hot_rows, at_most=seen["terms"] or 0)
     decided = _decide(extracted, terms, answers, providers, hot)
     return ScanResult(_outcomes(decided, answers, providers, hot, distance), searched, answers, cache)
 

@@ -188,8 +188,9 @@ def _library(spark: SparkSession, sf: str) -> Provider:
 
 
 def _answered(spark: SparkSession, sf: str, found: DataFrame, providers, **options) -> DataFrame:
-    terms, _ = materialize(lookup_terms(spark, sf), "lookup-terms")
-    return lookup.lookup(terms, found, providers, hot=lookup.hot_isbns(terms), **options)
+    terms, seen = materialize(lookup_terms(spark, sf), "lookup-terms", n=F.count(F.lit(1)))
+    hot = lookup.hot_isbns(terms, at_most=seen["n"])
+    return lookup.lookup(terms, found, providers, hot=hot, **options)
 
 
 def _lookups(spark: SparkSession, sf: str) -> DataFrame:
