@@ -25,21 +25,25 @@ def sketches(elements: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
     """
     count = len(first) - 1
     empty = _U(0xFFFFFFFFFFFFFFFF)
-    bins = np.full(count * size, empty, _U)
-    owner = np.repeat(np.arange(count), np.diff(first))
+    out = np.full((count, size), empty, _U)
+    rows = np.flatnonzero(np.diff(first))  # sets that are not filled yet
+    owner = np.repeat(np.arange(len(rows)), np.diff(first)[rows])
+    bins = np.full((len(rows), size), empty, _U)
     for turn in range(2 * size):
-        if not len(elements):
+        if not len(rows):
             break
         value = mix(elements, turn + 1)
-        at = value % _U(size) if turn < size else np.full(len(value), turn - size, _U)
-        key = owner * size + at.astype(np.int64)
-        ranked = (value >> _U(10)) | _U(turn) << _U(54)
-        np.minimum.at(bins, key, ranked)
-        full = (bins.reshape(count, size) != empty).all(axis=1)
+        at = (value % _U(size)).astype(np.int64) if turn < size else turn - size
+        ranked = (value >> _U(10)) | _U(turn) << _U(53)
+        np.minimum.at(bins.reshape(-1), owner * size + at, ranked)
+        full = (bins != empty).all(axis=1)
         if full.any():
-            left = ~full[owner]
-            elements, owner = elements[left], owner[left]
-    return bins.reshape(count, size)
+            out[rows[full]] = bins[full]
+            left = ~full
+            kept = left[owner]
+            elements, owner = elements[kept], (np.cumsum(left) - 1)[owner[kept]]
+            rows, bins = rows[left], bins[left]
+    return out
 
 
 def bands(rows: np.ndarray, width: int) -> np.ndarray:
