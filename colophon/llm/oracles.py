@@ -51,3 +51,48 @@ from docs join reach on node = doc_id left join sizes using (doc_id) group by do
 """
 
 SQL = {"op2_decontaminate": DECONTAMINATE, "op6_near_duplicates": NEAR}
+
+SUBSTRINGS = f"""
+with docs as (select doc_id, {_PLAIN.format(text="text")} w from documents),
+windows as (
+  select doc_id, i, array_to_string(w[i:i + 19], ' ') g
+  from (select doc_id, w, unnest(range(1, len(w) - 18)) i from docs where len(w) >= 20)),
+repeats as (
+  select doc_id, i from (select doc_id, i, row_number() over (partition by g order by doc_id, i) nth from windows)
+  where nth > 1),
+covered as (select distinct doc_id, unnest(range(i, i + 20)) p from repeats),
+placed as (select doc_id, unnest(w) word, unnest(range(1, len(w) + 1)) p from docs),
+kept as (
+  select doc_id, string_agg(word, ' ' order by p) t, count(*) n
+  from placed anti join covered using (doc_id, p) group by doc_id)
+select doc_id, cast(len(w) as bigint) n_words, cast(len(w) - coalesce(n, 0) as bigint) n_removed,
+  sha256(coalesce(t, '')) kept_sha256
+from docs left join kept using (doc_id)
+"""
+
+ROTATE = r"""
+with turns as (
+  select conv_id, turn, coalesce(role, 'unknown') speaker, replace(coalesce(text, ''), '<|', '< |') content,
+    row_number() over () line
+  from conversations),
+people as (select distinct conv_id, speaker participant from turns where speaker <> 'system'),
+seen as (
+  select t.conv_id, participant, turn, speaker, content, line,
+    case when speaker = 'system' then 'system' when speaker = participant then 'assistant' else 'user' end chat_role
+  from turns t join people p on t.conv_id is not distinct from p.conv_id),
+headed as (
+  select *, '<|im_start|>' || chat_role || case when chat_role = 'user' then ' name=' || speaker else '' end || chr(10) head
+  from seen),
+placed as (
+  select *, row_number() over w - 1 as position,
+    cast(sum(length(head) + length(content) + 11) over (w rows unbounded preceding) as bigint) as done
+  from headed
+  window w as (partition by conv_id, participant order by turn nulls first, speaker, content, line))
+select conv_id, participant, position, turn, speaker, chat_role, head || content || '<|im_end|>' || chr(10) piece,
+  done - length(head) - length(content) - 11 as start, done as "end", chat_role = 'assistant' as loss,
+  case when chat_role = 'assistant' then done - length(content) - 11 end as loss_start,
+  case when chat_role = 'assistant' then done - 1 end as loss_end
+from placed
+"""
+
+SQL |= {"op1_substring_dedup": SUBSTRINGS, "op8_rotate": ROTATE}

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colophon.llm import decontaminate, near, oracles, pack, toxicity
+from colophon.llm import debruijn, decontaminate, fingerprint, near, oracles, pack, pii, rotate, secrets, toxicity
 from colophon.llm.ship import ship
 
 _QUERIES = {
+    "op1_substring_dedup": debruijn.query,
     "op2_decontaminate": decontaminate.query,
     "op3_pack": pack.query,
+    "op4_pii": pii.query,
+    "op5_fingerprints": fingerprint.query,
     "op6_near_duplicates": near.query,
+    "op8_rotate": rotate.query,
     "op9_toxicity": toxicity.query,
+    "op10_secrets": secrets.query,
 }
 
 

@@ -106,8 +106,11 @@ def slices(batches, limit: int = SLICE_BYTES, rows: int = 4096) -> Iterator[tupl
             lo = hi
 
 
-def split(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> Words:
-    """All words of all texts. A word never runs over the end of its text."""
+def split(data: np.ndarray, at: np.ndarray, table: np.ndarray, longest: int = 0) -> Words:
+    """All words of all texts. A word never runs over the end of its text.
+
+    With ``longest``, words of more bytes are cut into pieces of that many.
+    """
     starts, ends, hashes = [], [], []
     lo, n = 0, len(data)
     while lo < n:
@@ -126,6 +129,11 @@ def split(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> Words:
         stops = on.copy()
         stops[:-1] &= ~on[1:] | begins[1:]
         s, e = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+        if longest and len(s) and int((e - s).max()) > longest:
+            number = (e - s + longest - 1) // longest
+            nth = np.arange(int(number.sum())) - np.repeat(np.cumsum(number) - number, number)
+            s, e = np.repeat(s, number) + longest * nth, np.repeat(e, number)
+            e = np.minimum(s + longest, e)
         up, down = _BYTE_POWERS(hi - lo)
         total = np.zeros(hi - lo + 1, _U)
         np.cumsum(code * up, out=total[1:])
