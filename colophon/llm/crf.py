@@ -23,7 +23,7 @@ from colophon.llm import words
 
 _U = np.uint64
 _TABLE_BITS = 20
-EPOCHS, RATE, DECAY = 80, 0.15, 1e-3
+EPOCHS, RATE, DECAY = 50, 0.2, 1e-3
 
 # classes of bytes: letters 1, capitals 2, digits 3, others themselves
 _SHAPE = np.arange(256, dtype=np.uint64)

@@ -54,7 +54,7 @@ def patterns(data: np.ndarray, at: np.ndarray, raw: bytes) -> list[tuple[int, in
     return out
 
 
-def examples(rows: int = 700, seed: int = 11) -> list[str]:
+def examples(rows: int = 1000, seed: int = 11) -> list[str]:
     """The labelled table: short lines of prose and settings with their secrets marked up."""
     rng = np.random.default_rng(seed)
     pick = lambda *options: options[rng.integers(len(options))]
@@ -62,12 +62,12 @@ def examples(rows: int = 700, seed: int = 11) -> list[str]:
     number = lambda n: some("0123456789", n)
     mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     syllables = "an er on the re in es ti ou de la que ion mente ung ch sch ar os le".split()
-    word = lambda: "".join(pick(*syllables) for _ in range(rng.integers(1, 4)))
+    word = lambda: "".join(pick(*syllables) for _ in range(rng.integers(1, pick(4, 4, 10))))
     tag = lambda s: f"<{TAGGED}>{s}</{TAGGED}>"
 
     def filler() -> str:
         w = word()
-        return pick(w, w, w, w, w.capitalize(), f"{w},", f"{w}.", w.upper() + "!!", f"{w}###", f"{w}&&&", f"{w}%%%", "|")
+        return pick(w, w, w, w, w.capitalize(), f"{w},", f"{w}.", f"{w.capitalize()}.", w.upper() + "!!", w.upper() + ",!!", f"{w}***", f"{w}.&&&", f"{w}###", f"{w}&&&", f"{w}%%%", "|")
 
     def secret() -> str:
         long = some(mixed, int(rng.integers(20, 44)))
@@ -83,7 +83,7 @@ def examples(rows: int = 700, seed: int = 11) -> list[str]:
         """Numbers and signs that are no secrets."""
         return pick(
             "Version 2.0.", "version 3.", number(4), number(16), f"+1 ({number(3)}) {number(3)}-{number(4)}", f"{number(2)}.{number(3)}.{number(2)}.{number(1)}",
-            f"{word()}.{number(2)}@{word()}.example.com", f"https://{word()}.org/{word()}/{number(4)}", f"{number(4)}-{number(2)}-{number(2)}",
+            f"{word()}.{number(2)}@{word()}{number(1)}.example.com", f"{word()}@{word()}.org", ".".join(str(n) for n in rng.integers(1, 256, 4)), number(12), f"https://{word()}.org/{word()}/{number(4)}", f"{number(4)}-{number(2)}-{number(2)}",
             f"{word()}_{word()}", f"{word()}{number(2)}", f"key = {word()}", f"token {word()}", f"the password {word()}", f"secret: {word()}",
             word() + word() + word(), word().upper() + word().upper(), f"{word()}({word()})", f"x = {number(3)}",
         )
@@ -91,10 +91,10 @@ def examples(rows: int = 700, seed: int = 11) -> list[str]:
     out = []
     for i in range(rows):
         parts = [filler() for _ in range(rng.integers(3, 12))]
-        for _ in range(i % 3):
+        for _ in range(i % 4 % 3):
             parts.insert(int(rng.integers(len(parts) + 1)), secret())
-        for _ in range(rng.integers(0, 3)):
-            parts.insert(int(rng.integers(len(parts) + 1)), public())
+        for _ in range(rng.integers(0, 4)):
+            parts.insert(int(rng.integers(len(parts) + 1)), public() + pick("", "", "", "###", "***", "&&&", "%%%", "$$$", "!!", ",", "."))
         out.append(" ".join(parts))
     return out
 
