@@ -50,8 +50,6 @@ select doc_id, cast(coalesce(n, 0) as bigint) n_shingles, min(root) component_id
 from docs join reach on node = doc_id left join sizes using (doc_id) group by doc_id, n
 """
 
-SQL = {"op2_decontaminate": DECONTAMINATE, "op6_near_duplicates": NEAR}
-
 SUBSTRINGS = f"""
 with docs as (select doc_id, {_PLAIN.format(text="text")} w from documents),
 windows as (
@@ -95,4 +93,9 @@ select conv_id, participant, position, turn, speaker, chat_role, head || content
 from placed
 """
 
-SQL |= {"op1_substring_dedup": SUBSTRINGS, "op8_rotate": ROTATE}
+SQL = {
+    "op1_substring_dedup": SUBSTRINGS,
+    "op2_decontaminate": DECONTAMINATE,
+    "op6_near_duplicates": NEAR,
+    "op8_rotate": ROTATE,
+}

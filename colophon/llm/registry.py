@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colophon.llm import debruijn, decontaminate, fingerprint, near, oracles, pack, pii, rotate, secrets, toxicity
+from colophon.llm import debruijn, decontaminate, fingerprint, katz, near, oracles, pack, pii, rotate, secrets, toxicity
 from colophon.llm.ship import ship
 
 _QUERIES = {
@@ -14,6 +14,7 @@ _QUERIES = {
     "op4_pii": pii.query,
     "op5_fingerprints": fingerprint.query,
     "op6_near_duplicates": near.query,
+    "op7_katz": katz.query,
     "op8_rotate": rotate.query,
     "op9_toxicity": toxicity.query,
     "op10_secrets": secrets.query,
