@@ -116,10 +116,15 @@ def _whole_sets(batches):
 
 
 def _agreeing(batches):
-    """Pairs of one block pair whose components differ and whose sketches agree."""
+    """Pairs of one block pair whose components differ and whose sketches agree.
+
+    A pair that shares several buckets is given in the first of them only.
+    """
     for batch in runs(batches, ["band", "i", "j"]):
         col = {k: batch.column(k).to_numpy() for k in ("i", "j", "own", "node", "label", "n_shingles")}
         sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, SIZE)
+        bands = batch.column("bands").flatten().to_numpy().reshape(batch.num_rows, -1)
+        here = batch.column("band").to_numpy()
         cuts = [0, *key_changes(batch, ["band", "i", "j"]), batch.num_rows]
         left, right = [], []
         for lo, hi in zip(cuts, cuts[1:]):
@@ -134,6 +139,7 @@ def _agreeing(batches):
                 y = y[col["label"][y] != col["label"][x]]
                 y = y[SHARED * np.minimum(n[y], n[x]) >= UNITED * np.maximum(n[y], n[x])]
                 y = y[(sig[y] == sig[x]).mean(axis=1) >= AGREE]
+                y = y[bands[x][(bands[y] == bands[x]).argmax(axis=1)] == here[lo]]
                 left.append(np.full(len(y), col["node"][x]))
                 right.append(col["node"][y])
         if left:
@@ -214,12 +220,12 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = (
         labelled.join(open_bands.select("band", blocks.alias("blocks")), "band")
-        .join(nodes.select("node", "n_shingles", "sig"), "node")
+        .join(nodes.select("node", "n_shingles", "sig", "bands"), "node")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select(
             "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-            (F.col("block") > F.col("other")).cast("int").alias("own"), "node", "label", "n_shingles", "sig",
+            (F.col("block") > F.col("other")).cast("int").alias("own"), "node", "label", "n_shingles", "sig", "bands",
         )
     )
     pairs = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(
