@@ -15,7 +15,6 @@ from pyspark.sql import Observation, SparkSession
 
 from colophon import Provider, scan
 from colophon.operators.incremental import drop_failed, emit_once
-from colophon.plans.scan import answer_table
 from colophon.sources.books import read_books, read_responses, write_books
 from colophon.sources.files import extract_files
 
@@ -66,7 +65,6 @@ def run(spark: SparkSession, options: argparse.Namespace) -> None:
         dry_run=options.dry_run,
         max_bytes=options.max_bytes,
         min_bytes=options.min_bytes,
-        answers=answer_table(providers),
     )
     counts = Observation("outcomes")
     write_books(result.observed(counts).books(options.compat), options.output, options.layout)

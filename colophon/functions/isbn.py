@@ -31,11 +31,6 @@ def find_runs(text: Column, kind: str) -> Column:
     return F.regexp_extract_all(text, F.lit(RUN_PATTERNS[kind]), F.lit(0))
 
 
-def strip_separators(run: Column) -> Column:
-    """H3: drop blanks and hyphens, upper-case the check character."""
-    return F.upper(F.translate(run, SEPARATORS, ""))
-
-
 def is_candidate(s: Column) -> Column:
     """P5: 10 or 13 characters, digits and X only, not a known bad number."""
     return (
@@ -77,11 +72,6 @@ def isbn13_valid(s: Column) -> Column:
     return _check_sum(s, term) % 10 == 0
 
 
-def keep_valid(isbns: Column, kind: str) -> Column:
-    """The valid identifiers of a list; order and duplicates are kept."""
-    return F.filter(isbns, isbn10_valid if kind == "isbn10" else isbn13_valid)
-
-
 def _check_sql(kind: str, length: int) -> str:
     """P6 or P7 for a candidate of known length, written out over its digits."""
     if kind == "isbn10":

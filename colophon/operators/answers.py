@@ -7,14 +7,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colophon.functions.records import has_confidence, pick_identifier
-from colophon.operators.skew import hot_keys
 from colophon.schemas import ANSWER, RESPONSE_BODY
 from colophon.sources.shared import materialize
 
 NO_MATCH = "unable to identify a good match from multiple returned works"
 CONFIDENCE = 100.0
 
-# Distinct titles of one ISBN that may share a row.
+# Distinct titles of one ISBN that share a row, about.
 CHUNK_TITLES = 1_000
 
 
@@ -40,14 +39,21 @@ def _select_answer(df: DataFrame) -> DataFrame:
 
 
 def response_answers(
-    responses: DataFrame, provider: str, provider_ord: int = 0, confidence: float = CONFIDENCE
+    responses: DataFrame,
+    provider: str,
+    provider_ord: int = 0,
+    confidence: float = CONFIDENCE,
+    isbns: DataFrame | None = None,
 ) -> DataFrame:
     """Answers from raw ``(isbn, status, body[, confidence])`` rows.
 
     A status other than 200 or an unreadable body fails (P17), no hits give
     confidence 0 (P16), hits give ``confidence`` and their items (P14). A
-    provider that is not always equally sure has its own column for it.
+    provider that is not always equally sure has its own column for it. With
+    ``isbns``, the table of those asked for, no other body is parsed.
     """
+    if isbns is not None:
+        responses = responses.join(isbns.select("isbn").distinct(), "isbn", "left_semi")
     body = F.from_json("body", RESPONSE_BODY, {"columnNameOfCorruptRecord": "_corrupt"})
     sure = F.col("confidence") if "confidence" in responses.columns else F.lit(confidence)
     parsed = responses.select("isbn", "status", body.alias("body"), sure.alias("confidence"))
@@ -92,12 +98,14 @@ def catalogue_answers(
     provider_ord: int = 0,
     confidence: float = CONFIDENCE,
     chunk_titles: int = CHUNK_TITLES,
+    isbns: DataFrame | None = None,
 ) -> DataFrame:
     """Answers from a table of volumes ``(ord, title, authors, identifiers,
     publish_date)``; an ISBN is answered by every volume that carries it.
 
     Of volumes with the same ISBN and title only the first can be the match.
-    The remaining titles of an ISBN are kept in rows of bounded length.
+    The remaining titles of an ISBN are kept in rows of bounded length. With
+    ``isbns``, the table of those asked for, nothing else is grouped.
     """
     ids = F.col("identifiers")
     carried = volumes.select(
@@ -119,22 +127,17 @@ def catalogue_answers(
             F.coalesce("publish_date", F.lit("")).alias("publish_date"),
         ).alias("volume"),
     )
-    titles, seen = materialize(
-        carried.groupBy("isbn", "title").agg(F.min("volume").alias("volume")),
-        "catalogue-titles",
-        n=F.count(F.lit(1)),
+    if isbns is not None:
+        carried = carried.join(isbns.select("isbn").distinct(), "isbn", "left_semi")
+    titles, _ = materialize(
+        carried.groupBy("isbn", "title").agg(F.min("volume").alias("volume")), "catalogue-titles"
+    )
+    # an ISBN of very many titles fills several rows, whatever the total
+    counts = titles.groupBy("isbn").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > chunk_titles)
+    many = counts.select("isbn", F.ceil(F.col("n") / chunk_titles).cast("int").alias("parts"))
+    titles = titles.join(many, "isbn", "left").withColumn(
+        "chunk", F.coalesce(F.pmod(F.xxhash64("title"), "parts"), F.lit(0)).cast("int")
     )
-    counts = titles.groupBy("isbn").agg(F.count(F.lit(1)).alias("n"))
-    many = hot_keys(counts, seen["n"], min_rows=chunk_titles)
-    if many is None:
-        titles = titles.withColumn("chunk", F.lit(0))
-    else:
-        titles = titles.join(F.broadcast(many), "isbn", "left").withColumn(
-            "chunk",
-            F.when(F.col("parts").isNull(), 0)
-            .otherwise(F.pmod(F.xxhash64("title"), "parts"))
-            .cast("int"),
-        )
     item = F.struct(
         "volume.ord", "title", "volume.authors", "volume.isbn10",
         "volume.isbn13", "volume.uom", "volume.publish_date",

@@ -58,21 +58,21 @@ def gather_terms(extracted: list[DataFrame]) -> DataFrame:
     """A4: one row per file from the outputs of several extractors.
 
     Terms are appended in extractor order; a failed extractor is skipped, and a
-    file fails if all of them failed. A path that an extractor returned more
-    than once counts once.
+    file fails if all of them failed. If an extractor returned a path more than
+    once, its different readable rows are appended in a fixed order.
     """
-    if len(extracted) == 1:
-        return extracted[0]
     tagged = reduce(
         DataFrame.unionByName,
         [df.withColumn("extractor_ord", F.lit(i)) for i, df in enumerate(extracted)],
     )
     per_extractor = tagged.groupBy("filepath").agg(
         *[
-            F.min(
-                F.when(
-                    (F.col("extractor_ord") == i) & F.col("error").isNull(),
-                    F.struct("isbn10s", "isbn13s"),
+            F.array_sort(
+                F.collect_set(
+                    F.when(
+                        (F.col("extractor_ord") == i) & F.col("error").isNull(),
+                        F.struct("isbn10s", "isbn13s"),
+                    )
                 )
             ).alias(f"terms_{i}")
             for i in range(len(extracted))
@@ -81,13 +81,13 @@ def gather_terms(extracted: list[DataFrame]) -> DataFrame:
     parts = [F.col(f"terms_{i}") for i in range(len(extracted))]
 
     def appended(name: str) -> Column:
-        return F.concat(*[_or_none(p[name]) for p in parts]).alias(name)
+        return F.concat(*[F.flatten(p[name]) for p in parts]).alias(name)
 
     return per_extractor.select(
         "filepath",
         appended("isbn10s"),
         appended("isbn13s"),
-        F.when(F.coalesce(*parts).isNull(), NO_TEXT).alias("error"),
+        F.when(F.size(F.concat(*parts)) == 0, NO_TEXT).alias("error"),
     )
 
 

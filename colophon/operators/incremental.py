@@ -41,11 +41,15 @@ def skip_processed_texts(texts: DataFrame, cache: DataFrame) -> tuple[DataFrame,
 
 
 def emit_once(records: DataFrame) -> DataFrame:
-    """O1: one record per path, the least one, so that a rerun gives the same."""
+    """O1: one record per path, so that a rerun gives the same.
+
+    A book goes before a failure; of several the least one stays.
+    """
     others = [c for c in records.columns if c != "filepath"]
+    failed = F.coalesce(F.length("error") > 0, F.lit(False)) if "error" in others else F.lit(False)
     return (
         records.groupBy("filepath")
-        .agg(F.min(F.struct(*others)).alias("r"))
+        .agg(F.min(F.struct(failed.alias("__failed"), *others)).alias("r"))
         .select(*[F.col("filepath") if c == "filepath" else F.col(f"r.{c}").alias(c) for c in records.columns])
     )
 

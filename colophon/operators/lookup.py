@@ -159,13 +159,19 @@ def to_results(lookups: DataFrame) -> DataFrame:
     )
 
 
-def plan_lookups(terms: DataFrame, answers: DataFrame, budget: int | None = None) -> DataFrame:
-    """L1: ISBNs worth requesting, those that most files ask for first.
+def plan_lookups(
+    terms: DataFrame, answers: DataFrame | None, providers: list[str], budget: int | None = None
+) -> DataFrame:
+    """L1: requests worth making, ``(provider, isbn, files)``, by number of files.
 
-    An ISBN without an answer or with a failed one is open. ``budget`` is the
+    An ISBN that a provider has not answered, or answered with a failure, is
+    open for this provider; without ``answers`` every one is. ``budget`` is the
     number of requests one may spend; without it the whole list is returned.
     """
     demand = terms.groupBy("isbn").agg(F.count_distinct("filepath").alias("files"))
-    answered = answers.where(~F.col("failed")).select("isbn").distinct()
-    plan = demand.join(answered, "isbn", "left_anti").orderBy(F.desc("files"), "isbn")
+    plan = demand.select(F.explode(F.array(*map(F.lit, providers))).alias("provider"), "isbn", "files")
+    if answers is not None:
+        answered = answers.where(~F.col("failed")).select("provider", "isbn").distinct()
+        plan = plan.join(answered, ["provider", "isbn"], "left_anti")
+    plan = plan.orderBy(F.desc("files"), "isbn", "provider")
     return plan if budget is None else plan.limit(budget)

@@ -53,11 +53,13 @@ class Provider:
 
     def answers(self, provider_ord: int, isbns: DataFrame | None) -> DataFrame:
         if self.volumes is not None:
-            return an.catalogue_answers(self.volumes, self.name, provider_ord, self.confidence)
+            return an.catalogue_answers(
+                self.volumes, self.name, provider_ord, self.confidence, isbns=isbns
+            )
         rows = self.responses(isbns) if callable(self.responses) else self.responses
         if "provider" in rows.columns:
             rows = rows.where(F.col("provider") == self.name)
-        return an.response_answers(rows, self.name, provider_ord, self.confidence)
+        return an.response_answers(rows, self.name, provider_ord, self.confidence, isbns)
 
 
 @dataclass(frozen=True)
@@ -69,6 +71,7 @@ class ScanResult:
     search_terms: DataFrame
     answers: DataFrame | None
     cached: DataFrame | None
+    providers: tuple[str, ...] = ()
 
     def books(self, compat: bool = False) -> DataFrame:
         """Cached books and those of this run."""
@@ -84,11 +87,13 @@ class ScanResult:
         return replace(self, outcomes=outcomes.observe_outcomes(self.outcomes, observation))
 
     def plan_lookups(self, answers: DataFrame | None = None, budget: int | None = None) -> DataFrame:
-        """ISBNs worth requesting (L1), given answers or those of the run."""
+        """Requests worth making (L1), given answers or those of the run.
+
+        After a dry run without answers that is all the run would ask for.
+        """
         known = self.answers if answers is None else answers
-        if known is None:
-            raise ValueError("a dry run has no answers: give those that are known")
-        return lookup.plan_lookups(identify.asked_isbns(self.search_terms), known, budget)
+        terms = identify.asked_isbns(self.search_terms)
+        return lookup.plan_lookups(terms, known, list(self.providers), budget)
 
 
 def enabled_providers(providers: list[Provider]) -> list[Provider]:
@@ -100,7 +105,10 @@ def enabled_providers(providers: list[Provider]) -> list[Provider]:
 
 
 def answer_table(providers: list[Provider], isbns: DataFrame | None = None) -> DataFrame:
-    """The answers of all enabled providers, written once for any number of runs."""
+    """The answers of all enabled providers, written once for any number of runs.
+
+    With ``isbns`` only these are looked up in each provider's table.
+    """
     parts = [p.answers(k, isbns) for k, p in enumerate(enabled_providers(providers))]
     return materialize(reduce(DataFrame.unionByName, parts), "answers")[0]
 
@@ -150,15 +158,18 @@ def scan(
         terms=F.sum(F.size("isbn10s") + F.size("isbn13s")),
     )
     searched = identify.search_terms(extracted)
+    names = tuple(p.name for p in providers)
     if dry_run:
-        return ScanResult(outcomes.failed_extraction(extracted), searched, answers, cache)
+        return ScanResult(outcomes.failed_extraction(extracted), searched, answers, cache, names)
 
     terms = identify.asked_isbns(searched)
     if answers is None:
-        answers = answer_table(providers, lookup.distinct_isbns(terms).select("isbn"))
+        asked, _ = materialize(lookup.distinct_isbns(terms).select("isbn"), "asked-isbns")
+        answers = answer_table(providers, asked)
     hot = lookup.hot_isbns(terms, hot_rows, at_most=seen["terms"] or 0)
     decided = _decide(extracted, terms, answers, providers, hot)
-    return ScanResult(_outcomes(decided, answers, providers, hot, distance), searched, answers, cache)
+    found = _outcomes(decided, answers, providers, hot, distance)
+    return ScanResult(found, searched, answers, cache, names)
 
 
 def _decide(extracted, terms, answers, providers, hot) -> DataFrame:

@@ -23,12 +23,6 @@ BOOK = _struct(
     error=_STR,
 )
 
-SEARCH_TERMS = _struct(
-    filepath=_STR,
-    isbn10s=T.ArrayType(_STR),
-    isbn13s=T.ArrayType(_STR),
-)
-
 RESULT = _struct(
     filepath=_STR,
     title=_STR,

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,10 +19,17 @@ from colophon.functions.records import book_json, object_key, written_book
 from colophon.schemas import BOOK, RESPONSE
 from colophon.sources.shared import materialize
 
-# End of one record and begin of the next in an object without line breaks.
-# Keys are absolute paths, and no closing quote inside a book is followed by a
-# slash, so this never matches within a record.
-_RECORD_BREAK = '},"/'
+# End of one record and begin of the next in an object without line breaks. A
+# quote inside a string is escaped, so within a record this can only close a
+# string that ends in the same signs: we write its comma as an escape, and a
+# file of others with such a string is refused, not misread.
+_RECORD_BREAK = '},"'
+_LIKE_A_BREAK = r'(\}\s*),(\s*")'
+
+
+def _plain(json: Column) -> Column:
+    return F.regexp_replace(json, _LIKE_A_BREAK, r"$1\\u002c$2")
+
 
 # The book behind its (possibly beheaded) key.
 _RECORD = r'(?s)^\s*(?:[{,]\s*")?[^"\\]*+(?:\\.[^"\\]*+)*+":\s*(\{.*)\z'
@@ -46,20 +53,25 @@ def write_books(books: DataFrame, path: str, layout: str = "lines", key_mode: st
 
 def _write_object(books: DataFrame, path: str, key_mode: str) -> None:
     spark = books.sparkSession
-    books, _ = materialize(books.select(*BOOK.fieldNames()), "books")
+    # a number tells repeated paths apart: one record alone opens the document
+    numbered = books.select(*BOOK.fieldNames(), F.monotonically_increasing_id().alias("n"))
+    books, _ = materialize(numbered, "books")
     # Ends of the document sort around the records. Each value goes without its
     # last brace: the text writer adds it as the "line" end.
     entry = F.concat(
-        object_key(F.col("filepath"), key_mode), F.lit(": "), F.rtrim(book_json(), F.lit("}"))
+        _plain(object_key(F.col("filepath"), key_mode)), F.lit(": "), F.rtrim(_plain(book_json()), F.lit("}"))
     )
-    first = books.agg(F.min("filepath")).first()[0]
-    opening = F.when(F.col("filepath") == F.lit(first), "{").otherwise(",")
+    first = books.agg(F.min(F.struct("filepath", "n")).alias("r")).first().r
+    opens = F.lit(False) if first is None else F.col("n") == first.n
+    opening = F.when(opens, "{").otherwise(",")
     records = books.select(
-        F.lit(1).alias("place"), "filepath", F.concat(opening, entry).alias("value")
+        F.lit(1).alias("place"), "filepath", "n", F.concat(opening, entry).alias("value")
     )
-    ends = [(2, "", "")] if first is not None else [(2, "", "{")]
-    document = records.unionByName(spark.createDataFrame(ends, "place int, filepath string, value string"))
-    document.orderBy("place", "filepath").select("value").write.mode("errorifexists").option(
+    ends = [(2, "", 0, "")] if first is not None else [(2, "", 0, "{")]
+    document = records.unionByName(
+        spark.createDataFrame(ends, "place int, filepath string, n long, value string")
+    )
+    document.orderBy("place", "filepath", "n").select("value").write.mode("errorifexists").option(
         "lineSep", "}"
     ).text(path)
 
@@ -67,10 +79,10 @@ def _write_object(books: DataFrame, path: str, key_mode: str) -> None:
 def read_books(spark: SparkSession, path: str, layout: str = "lines", whole: bool = False) -> DataFrame:
     """Books of an earlier run.
 
-    An ``object`` file is split at its records. One that was reformatted, or
-    whose keys are not absolute paths, must be read ``whole``, by one task per
-    file. A record that an interrupted run left unfinished is not a book, so its
-    file is scanned again.
+    An ``object`` file is split at its records. One that was reformatted must be
+    read ``whole``, by one task per file. A last record that an interrupted run
+    left unfinished is not a book, so its file is scanned again; any other
+    record that can't be read fails the run.
     """
     if layout == "lines":
         return spark.read.schema(BOOK).option("mode", "FAILFAST").json(path)
@@ -87,12 +99,26 @@ def read_books(spark: SparkSession, path: str, layout: str = "lines", whole: boo
         )
     body = F.regexp_extract("value", _RECORD, 1)
     body = F.concat(F.rtrim(body, F.lit("} \t\r\n")), F.lit("}"))
-    return (
-        spark.read.text(path, lineSep=_RECORD_BREAK)
-        .select(F.from_json(body, BOOK).alias("book"))
-        .where(F.col("book.filepath").isNotNull())
-        .select("book.*")
+    records = spark.read.text(path, lineSep=_RECORD_BREAK).select(
+        F.from_json(body, BOOK).alias("book"), "value", F.col("_metadata.file_path").alias("file")
+    )
+    _refuse_unreadable(records)
+    return records.where(F.col("book.filepath").isNotNull()).select("book.*")
+
+
+def _refuse_unreadable(records: DataFrame) -> None:
+    """Fail unless all records can be read, but for an unfinished last one of a file."""
+    empty = F.col("value").rlike(r"^[\s{}]*$")
+    unreadable = (F.col("book.filepath").isNull() & ~empty) | F.col("value").rlike(_LIKE_A_BREAK)
+    closed = F.col("value").rlike(r"\}\s*$")
+    bad = (
+        records.groupBy("file")
+        .agg(F.count_if(unreadable).alias("n"), F.bool_or(closed).alias("closed"))
+        .where((F.col("n") > 1) | ((F.col("n") == 1) & F.col("closed")))
+        .select("file").first()
     )
+    if bad is not None:
+        raise ValueError(f"unreadable records in {bad.file}: mend it or read it whole")
 
 
 def read_responses(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from colophon.operators.incremental import BROADCAST_BYTES
 from colophon.operators.outcomes import books_of
-from colophon.plans.scan import Provider, answer_table, scan
+from colophon.plans.scan import Provider, scan
 from colophon.schemas import BOOK
 from colophon.sources.shared import materialize
 
@@ -35,18 +35,16 @@ def identify_stream(
 
     The output is the state: a path that an earlier batch wrote is skipped. A
     repeated batch writes its own folder anew and looks only at the folders of
-    batches before it, so a restart neither loses nor doubles a file. Provider
-    tables are read once; with a provider function they are asked per batch.
+    batches before it, so a restart neither loses nor doubles a file. Every
+    batch asks the providers' tables or functions anew, for its own ISBNs only.
     ``on_batch`` is told the counts of each batch (A6). Other options are those
     of ``scan``.
     """
     spark = texts.sparkSession
-    asked_per_batch = any(callable(p.responses) for p in providers)
-    answers = None if asked_per_batch else answer_table(providers)
 
     def process(batch: DataFrame, batch_id: int) -> None:
         done = None if batch_id == 0 else earlier_books(batch, batch_id)
-        result = scan(batch, providers, cache=done, answers=answers, **options)
+        result = scan(batch, providers, cache=done, **options)
         counts = Observation("outcomes")
         books = books_of(result.observed(counts).outcomes)
         books.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")

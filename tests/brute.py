@@ -10,15 +10,11 @@ PATTERNS = {
 
 
 def valid10(s):
-    total = 0
-    for place, c in enumerate(s):
-        if c == "X":
-            if place + 1 < len(s):
-                return False
-            total += 10
-        elif c.isdigit():
-            total += (10 - place) * int(c)
-    return total % 11 == 0
+    """The weighted digits sum to a multiple of 11; only the last may be an X, counting 10."""
+    if "X" in s[:-1]:
+        return False
+    digits = sum((10 - p) * int(c) for p, c in enumerate(s) if c in "0123456789")
+    return (digits + 10 * s.endswith("X")) % 11 == 0
 
 
 def valid13(s):

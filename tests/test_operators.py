@@ -188,9 +188,40 @@ def test_plan_lookups(spark):
         spark, [("/a", 0, "isbn13", A), ("/b", 0, "isbn13", A), ("/b", 1, "isbn13", A), ("/b", 2, "isbn13", B), ("/c", 0, "isbn10", C), ("/c", 1, "isbn10", "x")],
     )
     found = an.response_answers(responses(spark, [("x", 200, body("T")), (B, 429, None)]), "google")
-    plan = [tuple(r) for r in lookup.plan_lookups(asked, found).collect()]
-    assert plan == [(A, 2), (C, 1), (B, 1)]
-    assert [tuple(r) for r in lookup.plan_lookups(asked, found, 2).collect()] == plan[:2]
+    plan = [tuple(r) for r in lookup.plan_lookups(asked, found, ["google"]).collect()]
+    assert plan == [("google", A, 2), ("google", C, 1), ("google", B, 1)]
+    assert [tuple(r) for r in lookup.plan_lookups(asked, found, ["google"], 2).collect()] == plan[:2]
+    both = [tuple(r) for r in lookup.plan_lookups(asked, found, ["google", "library"]).collect()]
+    assert sorted(both) == sorted([*plan, *[("library", i, n) for i, n in ((A, 2), (B, 1), (C, 1), ("x", 1))]])
+
+
+def test_plan_lookups_without_answers(spark):
+    asked = terms(spark, [("/a", 0, "isbn13", A)])
+    assert [tuple(r) for r in lookup.plan_lookups(asked, None, ["google"]).collect()] == [("google", A, 1)]
+
+
+def test_emit_once_takes_a_book_before_a_failure(spark):
+    rows = books(spark, {"filepath": "/a", "title": "", "error": "no texts extracted"}, {"filepath": "/a", "title": "Good"})
+    assert [(r.title, r.error) for r in incremental.emit_once(rows).collect()] == [("Good", None)]
+
+
+def test_gather_terms_is_the_same_for_any_number_of_extractors(spark):
+    rows = spark.createDataFrame(
+        [("/a", [], [], None), ("/a", [], [A], None), ("/a", [], [A], None), ("/b", [], [], "bad")],
+        "filepath string, isbn10s array<string>, isbn13s array<string>, error string",
+    )
+    none = rows.limit(0)
+    one, two = (sorted(map(tuple, identify.gather_terms(x).collect())) for x in ([rows], [rows, none]))
+    assert one == two == [("/a", [], [A], None), ("/b", [], [], identify.NO_TEXT)]
+
+
+def test_only_asked_isbns_are_parsed_and_grouped(spark):
+    rows = responses(spark, [(A, 200, body("T")), (B, 200, "not read")])
+    asked = spark.createDataFrame([(A,)], "isbn string")
+    found = an.response_answers(rows, "google", isbns=asked)
+    assert [r.isbn for r in found.collect()] == [A]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("from_json") < plan.index("LeftSemi")
 
 
 # incremental ----------------------------------------------------------------

@@ -101,6 +101,27 @@ def shelf(spark):
     )
 
 
+@pytest.fixture
+def stores(spark):
+    paths = ["/b/a.pdf", "hdfs://nn/b/a.pdf", "s3a://b/q\"x.pdf", "/b/a.pdf", "relative,}.pdf"]
+    return books(spark, *[{"filepath": p, "title": "T},"} for i, p in enumerate(paths)])
+
+
+def test_object_keys_of_any_store(spark, stores, tmp_path):
+    path = str(tmp_path / "out")
+    io.write_books(stores.repartition(3), path, layout="object")
+    document = json.loads("".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))))
+    assert set(document) == {r.filepath for r in stores.collect()}
+    assert as_json(io.read_books(spark, path, layout="object")) == as_json(stores)
+
+
+@pytest.mark.parametrize("bad", ['{"/a": {"title": 1,"/b": {"title":"x","filepath":"/b"},"/c": {"title":"y","filepath":"/c"}}', '{"/a": {"filepath":"/a"}, "/b": {"filepath":"/b"}}'])
+def test_unreadable_records_fail_the_run(spark, tmp_path, bad):
+    (tmp_path / "books.json").write_text(bad)
+    with pytest.raises(ValueError):
+        io.read_books(spark, str(tmp_path / "books.json"), layout="object")
+
+
 def as_json(df):
     return rows_of(df.select("filepath", book_json().alias("j")))
 

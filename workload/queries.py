@@ -28,6 +28,13 @@ def _joined(c: str):
     return F.array_join(c, "|").alias(c)
 
 
+# Keys of several stores, with a quote in some; for Spark and DuckDB alike.
+STORED_PATH = (
+    "case length(filepath) % 3 when 0 then 'hdfs://nn' || filepath "
+    "when 1 then 's3a://b\"k' || filepath else filepath end"
+)
+
+
 def _flat(books: DataFrame) -> DataFrame:
     return books.select(*BOOK_COLUMNS, _joined("authors"))
 
@@ -111,8 +118,7 @@ def title_distances(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _extracted(spark: SparkSession, sf: str) -> DataFrame:
-    files = identify.supported(wc.texts(spark, sf))
-    return identify.extract_terms(files, min_bytes=wc.FULL_TEXT)
+    return identify.extract_terms(identify.supported(wc.texts(spark, sf)))
 
 
 def _search_terms(spark: SparkSession, sf: str) -> DataFrame:
@@ -164,9 +170,12 @@ def lookup_terms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gather_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """A4: terms from two extractors, the second without a size gate."""
+    """A4: terms from two extractors, the first with an empty and a repeated row for every path."""
     second = identify.extract_terms(identify.supported(wc.returned_texts(spark, sf)))
-    return identify.gather_terms([_extracted(spark, sf), second]).select(
+    first = _extracted(spark, sf)
+    none = F.array().cast("array<string>")
+    failed = first.withColumns({"isbn10s": none, "isbn13s": none, "error": F.lit(identify.NO_TEXT)})
+    return identify.gather_terms([first.unionByName(failed).unionByName(first), second]).select(
         "filepath", _joined("isbn10s"), _joined("isbn13s"), "error"
     )
 
@@ -283,9 +292,9 @@ def unidentified(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def plan_lookups(spark: SparkSession, sf: str) -> DataFrame:
-    """L1: the requests worth a day's quota, given the library's answers."""
-    known = answers.response_answers(wc.library_responses(spark, sf), "library")
-    return lookup.plan_lookups(lookup_terms(spark, sf), known, BUDGET)
+    """L1: the requests worth a day's quota, given the answers of two providers."""
+    known = answer_table([_google(spark, sf), _library(spark, sf)])
+    return lookup.plan_lookups(lookup_terms(spark, sf), known, ["google", "library"], BUDGET)
 
 
 # whole runs -----------------------------------------------------------------
@@ -295,19 +304,23 @@ def _scan(spark: SparkSession, sf: str, providers=None, texts=None, **options):
     return scan(
         wc.texts(spark, sf) if texts is None else texts,
         providers or [_google(spark, sf)],
-        min_bytes=wc.FULL_TEXT,
         **options,
     )
 
 
+def _gated_scan(spark: SparkSession, sf: str, **options):
+    """A run for which texts shorter than a complete file are not extracted."""
+    return _scan(spark, sf, min_bytes=wc.FULL_TEXT, **options)
+
+
 def books_full(spark: SparkSession, sf: str) -> DataFrame:
     """One book or error per supported file."""
-    return _flat(_scan(spark, sf).books())
+    return _flat(_gated_scan(spark, sf).books())
 
 
 def books_compat(spark: SparkSession, sf: str) -> DataFrame:
     """Only what the reference writes."""
-    return _flat(_scan(spark, sf).books(compat=True))
+    return _flat(_gated_scan(spark, sf).books(compat=True))
 
 
 def books_two_providers(spark: SparkSession, sf: str) -> DataFrame:
@@ -323,22 +336,22 @@ def books_catalogue(spark: SparkSession, sf: str) -> DataFrame:
 
 def books_cached(spark: SparkSession, sf: str) -> DataFrame:
     """A run that keeps all earlier books."""
-    return _flat(_scan(spark, sf, cache=wc.cache(spark, sf)).books())
+    return _flat(_gated_scan(spark, sf, cache=wc.cache(spark, sf)).books())
 
 
 def books_retried(spark: SparkSession, sf: str) -> DataFrame:
     """A run that tries the earlier failures again."""
-    return _flat(_scan(spark, sf, cache=wc.cache(spark, sf), retry=True).books())
+    return _flat(_gated_scan(spark, sf, cache=wc.cache(spark, sf), retry=True).books())
 
 
 def outcomes_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Files per stage and status."""
-    return _scan(spark, sf).summary()
+    return _gated_scan(spark, sf).summary()
 
 
 def dry_run(spark: SparkSession, sf: str) -> DataFrame:
     """What a dry run writes, the earlier books and the files without text."""
-    return _flat(_scan(spark, sf, cache=wc.cache(spark, sf), dry_run=True).books())
+    return _flat(_gated_scan(spark, sf, cache=wc.cache(spark, sf), dry_run=True).books())
 
 
 def best_identifier(spark: SparkSession, sf: str) -> DataFrame:
@@ -356,9 +369,10 @@ def book_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def object_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """All books written as one JSON object and read back."""
+    """All books, with keys of several stores, written as one JSON object and read back."""
     path = new_path(spark, "books.json")
-    book_io.write_books(_scan(spark, sf).books(), path, layout="object")
+    texts = wc.texts(spark, sf).withColumn("filepath", F.expr(STORED_PATH))
+    book_io.write_books(_scan(spark, sf, texts=texts).books(), path, layout="object")
     return _flat(book_io.read_books(spark, path, layout="object"))
 
 
@@ -373,11 +387,10 @@ def incremental_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The corpus arriving in several batches."""
     source, out, checkpoint = (new_path(spark, n) for n in ("in", "out", "state"))
     texts = wc.texts(spark, sf)
-    texts.repartition(4, "filepath").write.parquet(source)
-    arriving = spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", 2).parquet(source)
-    query = identify_stream(
-        arriving, [_google(spark, sf)], out, checkpoint, min_bytes=wc.FULL_TEXT
-    )
+    number = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts.repartition(2 * number, "filepath").write.parquet(source)
+    arriving = spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", number).parquet(source)
+    query = identify_stream(arriving, [_google(spark, sf)], out, checkpoint)
     query.awaitTermination()
     return _flat(read_output(spark, out))
 
@@ -413,13 +426,16 @@ def retry_set(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def carry_through(spark: SparkSession, sf: str) -> DataFrame:
-    """O2, O1: earlier and new records, each file once."""
+    """O2, O1: earlier and new records, each file once, a book before its failures."""
     cache = wc.cache(spark, sf)
     new = incremental.skip_processed(
-        wc.texts(spark, sf).select("filepath", F.lit("New").alias("title")), cache
+        wc.texts(spark, sf).select("filepath", F.lit("New").alias("title"), F.lit(None).cast("string").alias("error")),
+        cache,
     )
-    old = cache.select("filepath", "title")
-    return incremental.emit_once(incremental.carry_through(old, new.unionByName(new)))
+    failed = new.withColumns({"title": F.lit(""), "error": F.lit(identify.NO_TEXT)})
+    old = cache.select("filepath", "title", "error")
+    records = incremental.carry_through(old, failed.unionByName(new).unionByName(new))
+    return incremental.emit_once(records).select("filepath", "title")
 
 
 def processed_count(spark: SparkSession, sf: str) -> DataFrame:
