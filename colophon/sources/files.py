@@ -1,73 +1,120 @@
-"""Files as input: listing and text of the types that need no codec."""
+"""Files as input: listing and text of the types that need no codec.
+
+Folders are listed and files opened by tasks, through the stores that Arrow
+knows (local or mounted paths, ``hdfs``, ``s3``, ``gs``). For others, pass a table of
+texts to ``scan``. The functions that run in tasks are nested so that they travel
+by value: executors need not have this package.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colophon.functions import text as tx
-from colophon.operators import incremental
 from colophon.operators.incremental import skip_processed
 from colophon.sources.shared import materialize
 
-# New files are opened by name up to this many.
-MAX_NAMED_PATHS = 10_000
+# Bytes of files that one task opens, about.
+TASK_BYTES = 1 << 30
 
 Extractor = Callable[[DataFrame], DataFrame]
 
 
-def _binary(spark: SparkSession, root, extensions: list[str]) -> DataFrame:
-    glob = "*{" + ",".join(extensions) + "}"
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .load(root)
-        .withColumn("filepath", tx.absolute_path(F.col("path")))
-    )
+def _store():
+    """``path -> (store, place in it, what stands before places in its paths)``."""
+
+    def of(path: str):
+        from pyarrow import fs
+
+        if path.startswith("/"):
+            return fs.LocalFileSystem(), path, ""
+        store, place = fs.FileSystem.from_uri(path)
+        return store, place, path.rstrip("/").removesuffix(place.rstrip("/"))
+
+    return of
+
+
+def _lister():
+    store_of = _store()
+
+    def children(batches):
+        import os
+
+        from pyarrow import fs
+
+        for batch in batches:
+            out = []
+            for folder in batch.column("folder").to_pylist():
+                store, place, prefix = store_of(folder)
+                root = store.get_file_info(place)
+                infos = [root] if root.is_file else store.get_file_info(fs.FileSelector(place))
+                for x in infos:
+                    if x.is_file or x.type == fs.FileType.Directory:
+                        linked = not prefix and x is not root and os.path.islink(x.path)
+                        if not linked:
+                            out.append((prefix + x.path, None if not x.is_file else x.size, not x.is_file))
+            cols = list(zip(*out)) or [(), (), ()]
+            kinds = (pa.string(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["filepath", "length", "folder"])
+
+    return children
+
+
+def _opener():
+    store_of = _store()
+
+    def contents(batches):
+        for batch in batches:
+            for path in batch.column("filepath").to_pylist():
+                store, place, _ = store_of(path)
+                with store.open_input_stream(place) as f:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([path]), pa.array([f.read()], pa.binary())], ["filepath", "content"]
+                    )
+
+    return contents
 
 
 def scan_files(spark: SparkSession, root: str | list[str]) -> DataFrame:
-    """``(filepath, length)`` of the accepted files below ``root``, each once.
+    """``(filepath, length)`` of the accepted regular files below ``root``, each once.
 
-    Contents are not opened. Spark skips names that begin with ``_`` or ``.``
-    and follows links.
+    Hidden names are listed too, links are not followed. One round of tasks per
+    level of folders; contents are not opened.
     """
-    files = _binary(spark, root, tx.ACCEPTED_EXTENSIONS).select("filepath", "length")
+    roots = [root] if isinstance(root, str) else root
+    folders = [(re.sub(r"^file:(?://)?(?=/)", "", r),) for r in roots]
+    level, found = spark.createDataFrame(folders, "folder string"), []
+    number = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        listed = level.repartition(number).mapInArrow(_lister(), "filepath string, length long, folder boolean")
+        wanted = listed.where(F.col("folder") | tx.is_supported(F.col("filepath")))
+        rows, seen = materialize(wanted, "listing", folders=F.count_if("folder"))
+        found.append(rows.where("not folder").select("filepath", "length"))
+        if not seen["folders"]:
+            break
+        level = rows.where("folder").select(F.col("filepath").alias("folder"))
+    files = reduce(DataFrame.unionByName, found)
     return files if isinstance(root, str) else files.dropDuplicates(["filepath"])
 
 
 def read_contents(spark: SparkSession, root: str | list[str], cache: DataFrame | None = None) -> DataFrame:
-    """``(filepath, content)`` of the accepted files below ``root``.
+    """``(filepath, content)`` of the accepted files below ``root``; known ones stay closed.
 
-    With a cache, known files are left out wherever that does not shuffle
-    contents: few new files are opened by name, more are picked by a broadcast
-    of their paths. If even the new paths are too many for that, all files are
-    returned, and ``scan`` drops the known ones by their terms.
+    With a cache the listed paths are compared with its paths first, and only
+    files without a book are opened, however many they are.
     """
-    contents = _binary(spark, root, tx.ACCEPTED_EXTENSIONS).select("filepath", "content")
-    if cache is None:
-        return contents
-    listed = _binary(spark, root, tx.ACCEPTED_EXTENSIONS).select("path", "filepath")
-    fresh, seen = materialize(
-        skip_processed(listed, cache),
-        "fresh-files",
-        n=F.count(F.lit(1)),
-        bytes=F.sum(F.octet_length("path")),
-        # characters that a path pattern would read as wildcards
-        odd=F.count_if(F.col("path").rlike(r"[*?\[\]{}\\,]")),
-    )
-    if seen["n"] == 0:
-        return contents.limit(0)
-    if seen["n"] <= MAX_NAMED_PATHS and not seen["odd"]:
-        paths = [r.path for r in fresh.select("path").distinct().collect()]
-        return _binary(spark, paths, tx.ACCEPTED_EXTENSIONS).select("filepath", "content")
-    if seen["bytes"] <= incremental.BROADCAST_BYTES:
-        new_paths = F.broadcast(fresh.select("filepath").distinct())
-        return contents.join(new_paths, "filepath", "left_semi")
-    return contents
+    files = scan_files(spark, root)
+    if cache is not None:
+        files = skip_processed(files, cache)
+    fresh, seen = materialize(files, "fresh-files", bytes=F.sum("length"))
+    number = max((seen["bytes"] or 0) // TASK_BYTES + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return fresh.select("filepath").repartition(number).mapInArrow(_opener(), "filepath string, content binary")
 
 
 def native_text(contents: DataFrame) -> DataFrame:

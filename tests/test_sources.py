@@ -47,9 +47,7 @@ def test_native_text(spark, library):
         src.extract_files(spark, str(library), extractors=[])
 
 
-@pytest.mark.parametrize("named", [0, 100])
-def test_only_new_files_are_read(spark, library, monkeypatch, named):
-    monkeypatch.setattr(src, "MAX_NAMED_PATHS", named)
+def test_only_new_files_are_read(spark, library):
     cache = books(spark, {"filepath": f"{library}/a.txt"}, {"filepath": f"{library}/g.rst"})
     contents = src.read_contents(spark, str(library), cache)
     assert set(by_path(contents, "content")) == {f"{library}/deep/b c.html", f"{library}/deep/er/d.pdf"}
@@ -57,15 +55,26 @@ def test_only_new_files_are_read(spark, library, monkeypatch, named):
     assert src.read_contents(spark, str(library), done).count() == 0
 
 
-def test_very_many_new_files_are_left_to_the_scan(spark, library, monkeypatch):
-    monkeypatch.setattr(src, "MAX_NAMED_PATHS", 0)
-    monkeypatch.setattr("colophon.operators.incremental.BROADCAST_BYTES", 0)
-    cache = books(spark, {"filepath": f"{library}/a.txt"})
-    texts = src.extract_files(spark, str(library), cache=cache)
-    provider = Provider("google", responses(spark, [(A, 200, body("T"))]))
-    assert set(by_path(scan(texts, [provider], cache=cache).outcomes, "status")) == {
-        f"{library}/{n}" for n in ("deep/b c.html", "deep/er/d.pdf", "g.rst")
-    }
+def test_known_files_are_not_opened(spark, library):
+    (library / "gone.txt").write_text("x")
+    cache = books(spark, {"filepath": f"{library}/gone.txt"})
+    contents = src.read_contents(spark, str(library), cache)
+    (library / "gone.txt").unlink()  # opening it would fail now
+    assert contents.count() == 4
+
+
+def test_hidden_names_are_in_and_links_are_out(spark, library, tmp_path):
+    (library / "_hid").mkdir()
+    for name in ("_c.txt", ".d.txt", "_hid/.e.txt"):
+        (library / name).write_text(f"ISBN {A}")
+    (library / "link.txt").symlink_to(library / "a.txt")
+    (library / "linked").symlink_to(library / "deep")
+    (library / "empty").mkdir()
+    found = {p.removeprefix(str(library)) for p in by_path(src.scan_files(spark, str(library)), "length")}
+    assert found == {"/a.txt", "/deep/b c.html", "/deep/er/d.pdf", "/g.rst", "/_c.txt", "/.d.txt", "/_hid/.e.txt"}
+    assert src.scan_files(spark, f"file://{library}").count() == len(found)
+    texts = by_path(src.extract_files(spark, str(library))[0], "text")
+    assert texts[f"{library}/_hid/.e.txt"] == f"ISBN {A}"
 
 
 def test_names_with_wildcards(spark, library):
