@@ -18,7 +18,8 @@ HTML_EXTENSIONS = [".htm", ".html"]
 # Character references resolved after the tags are gone.
 HTML_ENTITIES = [
     ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"),
-    ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"),
+    ("&quot;", '"'), ("&apos;", "'"), ("&ndash;", "\u2013"), ("&mdash;", "\u2014"),
+    ("&minus;", "\u2212"), ("&hyphen;", "\u2010"), ("&shy;", "\u00ad"), ("&amp;", "&"),
 ]
 
 
@@ -57,6 +58,25 @@ def decode_utf8(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
+def _numeric_references(text: Column) -> Column:
+    """``&#45;`` and ``&#x2d;`` as characters; a number that is none stays as it is."""
+    parts = F.split(text, r"&#(?=(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});)")
+
+    def resolved(part, i):
+        decimal = F.regexp_extract(part, "^([0-9]+);", 1)
+        code = F.when(decimal != "", decimal.try_cast("long")).otherwise(
+            F.conv(F.regexp_extract(part, "^[xX]([0-9a-fA-F]+);", 1), 16, 10).try_cast("long")
+        )
+        real = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        rest = F.regexp_replace(part, "^[xX]?[0-9a-fA-F]+;", "")
+        return (
+            F.when(i == 0, part).when(real, F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), part))
+        )
+
+    return F.when(text.contains("&#"), F.array_join(F.transform(parts, resolved), "")).otherwise(text)
+
+
 def html_to_text(html: Column) -> Column:
     """S3: markup to text. Unclosed comments and scripts run to the end."""
     for pattern in (
@@ -66,6 +86,7 @@ def html_to_text(html: Column) -> Column:
         r"<[^<>]*>",
     ):
         html = F.regexp_replace(html, pattern, " ")
+    html = _numeric_references(html)
     for entity, char in HTML_ENTITIES:
         html = F.replace(html, F.lit(entity), F.lit(char))
     return html

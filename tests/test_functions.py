@@ -49,6 +49,10 @@ def test_window_and_gate_count_bytes(spark):
 def test_html(spark):
     html = '<p>ISBN&nbsp;978&#39;s <!-- 1 --><script>var t="</p>";</script>a &lt;b&gt; &amp;lt;</p><style>x'
     assert one(spark, html, tx.html_to_text(F.col("v")))[0].split() == ["ISBN", "978's", "a", "<b>", "&lt;"]
+    for ref in ("978&#45;1", "978&#x2d;1", "978&#X2D;1"):
+        assert one(spark, ref, tx.html_to_text(F.col("v")))[0] == "978-1"
+    odd = "&#8211;&ndash;&#x1F600;&#0;&#1114112;&#xD800;&amp;#45;&# 45;&#45"
+    assert one(spark, odd, tx.html_to_text(F.col("v")))[0] == "\u2013\u2013\U0001f600&#0;&#1114112;&#xD800;&#45;&# 45;&#45"
 
 
 def test_broken_utf8_is_text(spark):

@@ -173,7 +173,9 @@ for _pattern in (
 ):
     _HTML = f"regexp_replace({_HTML}, '{_pattern}', ' ', 'g')"
 for _entity, _char in (
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&"),
+    ("&#39;", "''"), ("&#x27;", "''"), ("&#45;", "-"), ("&#x2d;", "-"), ("&#160;", chr(160)), ("&#8211;", chr(0x2013)),
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&ndash;", chr(0x2013)),
+    ("&mdash;", chr(0x2014)), ("&minus;", chr(0x2212)), ("&hyphen;", chr(0x2010)), ("&shy;", chr(0xAD)), ("&amp;", "&"),
 ):
     _HTML = f"replace({_HTML}, '{_entity}', '{_char}')"
 
@@ -345,7 +347,14 @@ ORACLES = {
         select filepath, 'New' from corpus where filepath not in (select filepath from cached)""",
     "processed_count": f"with {_CORPUS}, {_CACHE} select count(*) as processed from cached",
 }
-for _same in ("lines_round_trip", "incremental_stream"):
+ORACLES["responses_read"] = f"""
+        with volumes as ({VOLUMES_SQL})
+        select 'google' as provider, unnest([isbn10, isbn13]) as isbn, status, status = 200 as has_body from volumes"""
+ORACLES["two_extractors"] = """
+        select page_id, md5(html || chr(10)) as text_md5,
+               cast(octet_length(encode(html)) + 1 as varchar) as size, null::varchar as error from pages"""
+ORACLES["stage_chain"] = ORACLES["search_terms"]
+for _same in ("lines_round_trip", "incremental_stream", "own_writer", "disabled_provider"):
     ORACLES[_same] = ORACLES["books_full"]
 ORACLES["object_round_trip"] = (
     f"{_GOOGLE_BOOKS} select {_FLAT.replace('filepath', f'{STORED_PATH} as filepath')} from books"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -411,6 +413,53 @@ def file_scan(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def responses_read(spark: SparkSession, sf: str) -> DataFrame:
+    """All responses written as JSON Lines and read back."""
+    path = new_path(spark, "responses.jsonl")
+    wc.responses(spark, sf).write.json(path)
+    read = book_io.read_responses(spark, path)
+    return read.select("provider", "isbn", "status", F.col("body").isNotNull().alias("has_body"))
+
+
+def two_extractors(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page as a file, read by two extractors of the caller's."""
+    root = new_path(spark, "pages")
+    pages = wc.table(spark, sf, "pages").select("page_id", "html")
+    pages.repartition("page_id").write.partitionBy("page_id").text(root)
+
+    def size(contents: DataFrame) -> DataFrame:
+        return contents.select("filepath", F.octet_length("content").cast("string").alias("text"))
+
+    first, second = files.extract_files(spark, root, [files.native_text, size])
+    both = first.join(second.withColumnRenamed("text", "size"), "filepath")
+    page = F.regexp_extract("filepath", "/page_id=([0-9]+)/", 1).cast("bigint")
+    return both.select(page.alias("page_id"), F.md5("text").alias("text_md5"), "size", "error")
+
+
+def stage_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Stages in a row are DataFrame.transform."""
+    return (
+        wc.texts(spark, sf)
+        .transform(identify.supported)
+        .transform(identify.extract_terms)
+        .transform(identify.search_terms)
+        .select("filepath", _joined("isbn10s"), _joined("isbn13s"))
+    )
+
+
+def own_writer(spark: SparkSession, sf: str) -> DataFrame:
+    """U4: books handed to the caller's writer."""
+    path = new_path(spark, "own-books")
+    book_io.write_with(_scan(spark, sf).books(), lambda books: books.write.orc(path))
+    return _flat(spark.read.orc(path))
+
+
+def disabled_provider(spark: SparkSession, sf: str) -> DataFrame:
+    """A disabled provider is not asked."""
+    library = replace(_library(spark, sf), enabled=False)
+    return _flat(_scan(spark, sf, [library, _google(spark, sf)]).books())
+
+
 # incremental operators ------------------------------------------------------
 
 
@@ -454,6 +503,7 @@ QUERIES = {
         books_retried, outcomes_summary, dry_run, best_identifier, book_json,
         object_round_trip, lines_round_trip, incremental_stream, file_scan,
         skip_processed, retry_set, carry_through, processed_count,
+        responses_read, two_extractors, stage_chain, own_writer, disabled_provider,
     )
 }
 QUERIES["isbn10_terms"] = _terms_of("isbn10s", "ISBN-10")
