@@ -3,7 +3,7 @@ import pytest
 from colophon.__main__ import parse, run
 from colophon.operators import collate, identify
 from colophon.sources.books import read_books
-from tests.helpers import body, by_path
+from tests.helpers import VOLUMES, body, by_path
 
 A, B = "9781718501263", "9781718501270"
 
@@ -30,7 +30,14 @@ def test_runs(spark, tmp_path):
     cached = ("--cache", str(tmp_path / "o1"))
     assert job("o2", *r2, *cached) == first
     assert job("o3", *r2, *cached, "--retry") == {**first, "b.txt": ("U", None)}
-    assert job("o4", *r2, "--dry-run") == {"c.pdf": first["c.pdf"]}
+    # a dry run reads no responses, and plans all that it would ask for
+    nowhere = ("--responses", str(tmp_path / "nowhere.json"))
+    spark.createDataFrame([("google", "x", 200, "unread")], schema).write.json(nowhere[1])
+    assert job("o4", *nowhere, "--dry-run", "--requests", str(tmp_path / "all")) == {"c.pdf": first["c.pdf"]}
+    assert {r.isbn for r in spark.read.json(str(tmp_path / "all")).collect()} == {A, B}
+    volumes = [(1, "V", ["x"], [("ISBN_13", A)], "2001")]
+    spark.createDataFrame(volumes, VOLUMES).write.parquet(str(tmp_path / "volumes"))
+    assert job("o6", "--catalogue", str(tmp_path / "volumes"), "--strict-length", "--distance", "compat")["a.txt"] == ("V", None)
     assert job("o5", *r1, "--compat") == {k: first[k] for k in ("a.txt", "c.pdf")}
     with pytest.raises(SystemExit):
         parse(["--scan", str(root), "--output", "x", *r1, "--retry"])
