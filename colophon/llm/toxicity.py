@@ -30,10 +30,12 @@ from colophon.llm.words import _BYTE_POWERS, slices
 
 LENGTHS = (4, 5)
 BITS = 20
-SAMPLE = 2_000
+SAMPLE = 1_500
+LEAST = 3
+BLOCK = 1 << 19
 ALPHA = 0.5
 RIDGE = 1e-4
-STEPS = 150
+STEPS = 100
 THRESHOLD = 0.7
 
 _FOLD = np.arange(256, dtype=np.uint64) + np.uint64(1)
@@ -109,37 +111,60 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(None, -np.inf)
     if y.all():
         return Model(None, np.inf)
-    lists = rows.column("columns").combine_chunks()
-    column = np.asarray(lists.flatten())
-    owner = np.repeat(np.arange(len(y)), np.diff(np.asarray(lists.offsets)))
+    owner, column = _pairs(rows.column("columns"))
+    del rows
     return _regress(y, owner, column)
 
 
+def _pairs(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of all features, in as little memory as they take."""
+    size = np.concatenate([np.diff(np.asarray(c.offsets)) for c in lists.chunks])
+    column = np.concatenate([np.asarray(c.flatten()) for c in lists.chunks])
+    return np.repeat(np.arange(len(size), dtype=np.int32), size), column
+
+
 def _regress(y: np.ndarray, owner: np.ndarray, column: np.ndarray) -> Model:
-    """Log-count ratios, then ridge-penalised logistic regression on the scaled columns."""
+    """Log-count ratios, then ridge-penalised logistic regression on the scaled columns.
+
+    Columns of fewer than ``LEAST`` rows say little and are left out. Features are
+    read in blocks, so that beside them only vectors of columns and rows are held.
+    """
     width = 1 << BITS
-    toxic = ALPHA + np.bincount(column, y[owner], width)
-    clean = ALPHA + np.bincount(column, 1 - y[owner], width)
-    ratio = np.log(toxic / toxic.sum()) - np.log(clean / clean.sum())
-    seen, place = np.unique(column, return_inverse=True)
-    scale = ratio[seen]
-    norm = np.sqrt(np.mean(np.bincount(owner, scale[place] ** 2, len(y))))
-    value = scale[place] / norm  # rows of length 1 on average
+    n = np.bincount(column, minlength=width)
+    known = np.flatnonzero(n >= min(LEAST, len(y)))
+    place = np.full(width, -1, np.int32)
+    place[known] = np.arange(len(known), dtype=np.int32)
+    column = place[column]
+    keep = column >= 0
+    owner, column = owner[keep], column[keep]
+    blocks = [slice(i, i + BLOCK) for i in range(0, len(column), BLOCK)]
+
+    def by_row(v: np.ndarray) -> np.ndarray:
+        return sum((np.bincount(owner[b], v[column[b]], len(y)) for b in blocks), np.zeros(len(y)))
+
+    def by_column(v: np.ndarray) -> np.ndarray:
+        return sum((np.bincount(column[b], v[owner[b]], len(known)) for b in blocks), np.zeros(len(known)))
+
+    toxic, clean = ALPHA + by_column(y), ALPHA + by_column(1 - y)
+    scale = np.log(toxic / toxic.sum()) - np.log(clean / clean.sum())
+    length = by_row(scale**2)
+    scale = scale / np.sqrt(max(length.mean(), 1e-12))  # rows of length 1 on average
+    length = length / max(length.mean(), 1e-12)
     each = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
-    w, b = np.zeros(len(seen)), 0.0
+    w, b = np.zeros(len(known)), 0.0
     fast, fast_b, t = w.copy(), b, 1.0
     # the curvature is at most a quarter of the mean squared length of a row
-    step = 1.0 / (0.25 * (each @ (np.bincount(owner, value**2, len(y)) + 1)) + RIDGE)
+    step = 1.0 / (0.25 * (each @ (length + 1)) + RIDGE)
     for _ in range(STEPS):  # accelerated gradient steps
-        z = np.bincount(owner, value * fast[place], len(y)) + fast_b
+        z = by_row(scale * fast) + fast_b
         miss = each * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
-        new = fast - step * (np.bincount(place, value * miss[owner], len(seen)) + RIDGE * fast)
+        new = fast - step * (scale * by_column(miss) + RIDGE * fast)
         new_b = fast_b - step * miss.sum()
         s = (1 + np.sqrt(1 + 4 * t * t)) / 2
         fast, fast_b = new + (t - 1) / s * (new - w), new_b + (t - 1) / s * (new_b - b)
         w, b, t = new, new_b, s
     weights = np.zeros(width, np.float32)
-    weights[seen] = w * scale / norm
+    weights[known] = w * scale
     return Model(weights, float(b))
 
 
