@@ -94,15 +94,14 @@ def _covered(count: int, spans, window: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _rest(data, found: words.Words, i: int, gone: np.ndarray) -> tuple[int, str]:
-    """Number of covered words of text ``i``, and the digest of the others."""
+def _rest(raw: bytes, found: words.Words, i: int, gone: np.ndarray | None = None) -> str:
+    """The digest of the words of text ``i`` that are not gone."""
     lo, hi = found.first[i], found.first[i + 1]
     start, end = found.start[lo:hi], found.end[lo:hi]
-    if gone is not None and gone.any():
+    if gone is not None:
         start, end = start[~gone], end[~gone]
-    raw = data
     kept = b" ".join(raw[a:b] for a, b in zip(start.tolist(), end.tolist()))
-    return (int(gone.sum()) if gone is not None else 0), hashlib.sha256(kept).hexdigest()
+    return hashlib.sha256(kept).hexdigest()
 
 
 _DIGEST = "doc_id long, n_words long, kept_sha256 string, text string, gone " + _SPAN + ", asked " + _SPAN
@@ -114,7 +113,7 @@ def _digests(batches):
         found = words.split(data, at, words.PLAIN)
         raw = data.tobytes()
         settled = [not g and not a for g, a in zip(rows.column("gone").to_pylist(), rows.column("asked").to_pylist())]
-        sha = [_rest(raw, found, i, None)[1] if s else None for i, s in enumerate(settled)]
+        sha = [_rest(raw, found, i) if s else None for i, s in enumerate(settled)]
         texts = [None if s else t or "" for s, t in zip(settled, rows.column("text").to_pylist())]
         yield pa.RecordBatch.from_arrays(
             [
@@ -173,7 +172,7 @@ def _results(window: int):
                 if sha[i] is None:
                     n = int(found.first[i + 1] - found.first[i])
                     flags = _covered(n, [*(gone[i] or ()), *(more[i] or ())], window)
-                    removed[i], sha[i] = _rest(raw, found, i, flags)
+                    removed[i], sha[i] = int(flags.sum()), _rest(raw, found, i, flags)
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), rows.column("n_words"), pa.array(removed, pa.int64()), pa.array(sha, pa.string())],
                 ["doc_id", "n_words", "n_removed", "kept_sha256"],
@@ -206,12 +205,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         ),
         "earliest",
     )
-    is_first = place == F.col("first")
     span = F.struct("start", "n")
     per_doc = (
         paths.join(earliest, (F.col("path") == F.col("p")) & (F.col("mark") == F.col("m")))
-        .where(~F.coalesce(is_first, F.lit(False)) | F.col("branches"))
-        .withColumn("first_here", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start")))
+        .withColumn("first_here", _same("doc_id", "first.doc_id") & (F.col("start") == F.col("first.start")))
+        .where(~F.col("first_here") | F.col("branches"))
         .groupBy(F.col("doc_id").alias("of"))
         .agg(
             F.collect_list(F.when(~F.col("first_here"), span)).alias("gone"),
@@ -229,7 +227,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     repeated = edges.groupBy("edge").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
     more = (
         edges.join(repeated, "edge")
-        .where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("start") == F.col("first.start"))))
+        .where(~(_same("doc_id", "first.doc_id") & (F.col("start") == F.col("first.start"))))
         .groupBy(F.col("doc_id").alias("of"))
         .agg(F.collect_list(F.struct("start", F.lit(1).alias("n"))).alias("more"))
     )

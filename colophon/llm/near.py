@@ -156,7 +156,7 @@ def _agree(batches):
             yield batch.select(["u", "v"]).filter(pa.array(keep))
 
 
-def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+def _confirmed(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """The pairs that are links, checked on the full sets of both."""
     pairs = written(pairs.distinct(), f"{name}-pairs")
     ids, n = counted(
@@ -210,7 +210,7 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .join(sig.select(F.col("node").alias("v"), F.col("sig").alias("sig_v")), "v")
         .mapInArrow(_agree, "u long, v long")
     )
-    links = written(_confirmed(texts, nodes, agreeing, "star"), "near-links")
+    links = written(_confirmed(texts, agreeing, "star"), "near-links")
     roots = components(links)
 
     labelled = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("label"))
@@ -231,7 +231,7 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(
         _agreeing, "u long, v long"
     )
-    more = _confirmed(texts, nodes, pairs, "block")
+    more = _confirmed(texts, pairs, "block")
     roots = components(links.unionByName(more))
     groups = nodes.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("component_id"))
     return rows.select("doc_id", "n_shingles", "set_key"), groups
