@@ -113,6 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return Model(None, np.inf)
     owner, column = _pairs(rows.column("columns"))
     del rows
+    pa.default_memory_pool().release_unused()
     return _regress(y, owner, column)
 
 
