@@ -7,10 +7,11 @@ columns. Labels are read for training rows only; language, source and ids are no
 inputs.
 
 The fit uses at most ``SAMPLE`` labelled rows of each class, those of least
-hashed id: a documented bound. All documents are scored by their whole texts. A
-null or empty text has no features and gets the score of the intercept; if the
-labels lack a class, every score is 0.0 (no toxic rows) or 1.0. A document with
-several labels is toxic if one of them says so; null labels are left out.
+hashed id: a documented bound. One executor task fits on all n-grams of these, in
+the order of ids and texts; the driver gets the weights only. All documents are
+scored by their whole texts. A null or empty text has no features and gets the
+score of the intercept; if the labels lack a class, every score is 0.0 (no toxic
+rows) or 1.0. A document with several labels is toxic if one of them says so; null labels are left out.
 Repeated rows are scored alike; an empty table gives no rows; other columns are
 kept out of the way.
 """
@@ -30,12 +31,11 @@ from colophon.llm.words import _BYTE_POWERS, slices
 
 LENGTHS = (4, 5)
 BITS = 20
-SAMPLE = 1_500
-LEAST = 3
+SAMPLE = 2_000
 BLOCK = 1 << 19
 ALPHA = 0.5
 RIDGE = 1e-4
-STEPS = 100
+STEPS = 150
 THRESHOLD = 0.7
 
 _FOLD = np.arange(256, dtype=np.uint64) + np.uint64(1)
@@ -82,14 +82,26 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (key >> np.uint32(BITS)).astype(np.int64), (key & np.uint32((1 << BITS) - 1)).astype(np.int64)
 
 
-def _emit_features(batches):
+def _emit_model(batches):
+    """The fit on all rows of the one task: a row of weights and intercept."""
+    labels, owners, columns, n = [np.zeros(0)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
     for rows, data, at in slices(batches):
         owner, column = features(data, at)
-        first = np.searchsorted(owner, np.arange(len(at))).astype(np.int32)
-        yield pa.RecordBatch.from_arrays(
-            [rows.column("label"), pa.ListArray.from_arrays(pa.array(first), pa.array(column.astype(np.int32)))],
-            ["label", "columns"],
-        )
+        labels.append(rows.column("label").to_numpy().astype(np.float64))
+        owners.append((owner + n).astype(np.int32))
+        columns.append(column.astype(np.int32))
+        n += rows.num_rows
+    y = np.concatenate(labels)
+    if not y.any():
+        model = Model(None, -np.inf)
+    elif y.all():
+        model = Model(None, np.inf)
+    else:
+        model = _regress(y, np.concatenate(owners), np.concatenate(columns))
+    weights = None if model.weights is None else model.weights.tobytes()
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([weights], pa.binary()), pa.array([model.intercept])], ["weights", "intercept"]
+    )
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -103,41 +115,28 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = known.where("label = 1").orderBy(*order).limit(SAMPLE).unionByName(
         known.where("label = 0").orderBy(*order).limit(SAMPLE)
     )
-    rows = documents_of(docs).join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(
-        _emit_features, "label int, columns array<int>"
-    ).toArrow()
-    y = rows.column("label").to_numpy().astype(np.float64)
-    if not y.any():
+    rows = documents_of(docs).join(F.broadcast(chosen), "doc_id")
+    # at most twice SAMPLE labelled ids; in this order sums are the same in every run
+    found = rows.repartition(1).sortWithinPartitions("doc_id", "text").select("label", "text").mapInArrow(
+        _emit_model, "weights binary, intercept double"
+    ).collect()
+    if not found:
         return Model(None, -np.inf)
-    if y.all():
-        return Model(None, np.inf)
-    owner, column = _pairs(rows.column("columns"))
-    del rows
-    pa.default_memory_pool().release_unused()
-    return _regress(y, owner, column)
-
-
-def _pairs(lists: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column numbers of all features, in as little memory as they take."""
-    size = np.concatenate([np.diff(np.asarray(c.offsets)) for c in lists.chunks])
-    column = np.concatenate([np.asarray(c.flatten()) for c in lists.chunks])
-    return np.repeat(np.arange(len(size), dtype=np.int32), size), column
+    weights, intercept = found[0]
+    return Model(None if weights is None else np.frombuffer(weights, np.float32), intercept)
 
 
 def _regress(y: np.ndarray, owner: np.ndarray, column: np.ndarray) -> Model:
     """Log-count ratios, then ridge-penalised logistic regression on the scaled columns.
 
-    Columns of fewer than ``LEAST`` rows say little and are left out. Features are
-    read in blocks, so that beside them only vectors of columns and rows are held.
+    Features are read in blocks, so that beside them only vectors of columns and rows
+    are held.
     """
     width = 1 << BITS
-    n = np.bincount(column, minlength=width)
-    known = np.flatnonzero(n >= min(LEAST, len(y)))
-    place = np.full(width, -1, np.int32)
+    known = np.flatnonzero(np.bincount(column, minlength=width))
+    place = np.zeros(width, np.int32)
     place[known] = np.arange(len(known), dtype=np.int32)
     column = place[column]
-    keep = column >= 0
-    owner, column = owner[keep], column[keep]
     blocks = [slice(i, i + BLOCK) for i in range(0, len(column), BLOCK)]
 
     def by_row(v: np.ndarray) -> np.ndarray:

@@ -315,6 +315,18 @@ def test_toxicity(spark, hard):
         assert {r.score for r in toxicity.classified(docs, labels.where(known)).collect()} == {score}
 
 
+def test_toxicity_fit_keeps_rare_ngrams(spark):
+    assert (toxicity.SAMPLE, toxicity.STEPS) == (2_000, 150)
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    text = {i: f"plain words {i} about hills" + " grobnik" * (i % 2) for i in ids}
+    one = next(i for i in ids if i % 2)
+    text[one] += " zqxvyw"
+    docs = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    _, rare = toxicity.features(np.frombuffer(b"zqxvyw", np.uint8), np.array([0, 6]))
+    assert (toxicity.fit(docs, labels).weights[rare] > 0).all()
+
+
 # empty tables and the pipeline
 
 
