@@ -34,7 +34,7 @@ def sketches(elements: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
             break
         value = mix(elements, turn + 1)
         at = (value % _U(size)).astype(np.int64) if turn < size else turn - size
-        ranked = (value >> _U(10)) | _U(turn) << _U(53)
+        ranked = (value >> _U(11)) | _U(turn) << _U(53)  # 53 bits of value below the round
         np.minimum.at(bins.reshape(-1), owner * size + at, ranked)
         full = (bins != empty).all(axis=1)
         if full.any():

@@ -61,6 +61,25 @@ def test_sketch_estimates_similarity_and_fills():
     assert abs((rows[0] == rows[1]).mean() - 0.8) < 0.06
 
 
+def test_sketch_keeps_coordinates_of_earlier_rounds():
+    """Enough sets whose first round leaves a bin open, each against its bins of that round."""
+    rng = np.random.default_rng(2)
+    replaced = opened = 0
+    for _ in range(60):
+        one = np.unique(rng.integers(0, 1 << 62, 400).astype(np.uint64))
+        value = words.mix(one, 1)
+        at = (value % np.uint64(64)).astype(int)
+        least = np.full(64, np.iinfo(np.uint64).max, np.uint64)
+        np.minimum.at(least, at, value)
+        filled = np.bincount(at, minlength=64) > 0
+        got = sketch.sketches(one, np.array([0, len(one)]), 64)[0]
+        opened += not filled.all()
+        # a coordinate has the leading bits of its value, 53 or 54 of them
+        kept = (got == least >> np.uint64(10)) | (got == least >> np.uint64(11))
+        replaced += (filled & ~kept).sum()
+    assert opened and not replaced
+
+
 # op1
 
 
