@@ -1,7 +1,7 @@
 """MinHash near-dedup by fast similarity sketching, banding and exact checks.
 
 Words are maximal runs without ASCII white space, A-Z lower-cased. The set of a
-document has its distinct shingles of ``SHINGLE`` words; with fewer words the
+document has its distinct shingles of ``shingle`` words; with fewer words the
 whole sequence is the one shingle. Two documents are linked if
 ``100 * shared >= 80 * united``. Components are those of all links.
 
@@ -86,33 +86,39 @@ def _lists(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(places), pa.array(rows.ravel().view(np.int64)))
 
 
-def _describe(batches):
-    for rows, data, at in words.slices(batches):
-        hashed, first = shingle_sets(data, at)
-        coordinates = sketch.sketches(hashed, first, SIZE)
-        yield pa.RecordBatch.from_arrays(
-            [
-                rows.column("doc_id"),
-                pa.array(np.diff(first)),
-                _binary(_set_keys(hashed, first)),
-                _lists(sketch.bands(coordinates[:, :BANDED], WIDTH)),
-                _binary(coordinates.astype(np.uint8)),
-            ],
-            ["doc_id", "n_shingles", "set_key", "bands", "sig"],
-        )
-
-
-def _whole_sets(batches):
-    for rows, data, at in words.slices(batches):
-        hashed, first = shingle_sets(data, at)
-        yield pa.RecordBatch.from_arrays(
-            [
-                rows.column("doc_id"),
-                _binary(_set_keys(hashed, first)),
-                pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashed.view(np.int64))),
-            ],
-            ["doc_id", "set_key", "shingles"],
-        )
+def _describe(shingle: int):
+    def of(batches):
+        for rows, data, at in words.slices(batches):
+            hashed, first = shingle_sets(data, at, shingle)
+            coordinates = sketch.sketches(hashed, first, SIZE)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column("doc_id"),
+                    pa.array(np.diff(first)),
+                    _binary(_set_keys(hashed, first)),
+                    _lists(sketch.bands(coordinates[:, :BANDED], WIDTH)),
+                    _binary(coordinates.astype(np.uint8)),
+                ],
+                ["doc_id", "n_shingles", "set_key", "bands", "sig"],
+            )
+
+    return of
+
+
+def _whole_sets(shingle: int):
+    def of(batches):
+        for rows, data, at in words.slices(batches):
+            hashed, first = shingle_sets(data, at, shingle)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column("doc_id"),
+                    _binary(_set_keys(hashed, first)),
+                    pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashed.view(np.int64))),
+                ],
+                ["doc_id", "set_key", "shingles"],
+            )
+
+    return of
 
 
 def _agreeing(batches):
@@ -156,7 +162,7 @@ def _agree(batches):
             yield batch.select(["u", "v"]).filter(pa.array(keep))
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+def _confirmed(docs: DataFrame, pairs: DataFrame, name: str, shingle: int) -> DataFrame:
     """The pairs that are links, checked on the full sets of both."""
     pairs = written(pairs.distinct(), f"{name}-pairs")
     ids, n = counted(
@@ -164,7 +170,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     )
     few = sized(ids, n)
     sets = (
-        docs.join(few, "doc_id", "left_semi").mapInArrow(_whole_sets, "doc_id long, set_key binary, shingles array<long>")
+        docs.join(few, "doc_id", "left_semi").mapInArrow(_whole_sets(shingle), "doc_id long, set_key binary, shingles array<long>")
         .dropDuplicates(["doc_id", "set_key"])
     )
     sets = written(sets.select("doc_id", "shingles"), f"{name}-sets")
@@ -179,17 +185,17 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     )
 
 
-def described(docs: DataFrame) -> DataFrame:
+def described(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Each document's set size, set key, band hashes and sketch bytes, map-only."""
     return documents_of(docs).mapInArrow(
-        _describe, "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary"
+        _describe(shingle), "doc_id long, n_shingles long, set_key binary, bands array<long>, sig binary"
     )
 
 
-def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """Per row ``(doc_id, n_shingles, set_key)``, and ``(set_key, component_id)``."""
     texts = documents_of(docs)
-    rows = written(described(docs), "near-rows")
+    rows = written(described(docs, shingle), "near-rows")
     nodes = written(
         rows.where("n_shingles > 0").groupBy("set_key").agg(
             F.min("doc_id").alias("node"),
@@ -210,7 +216,7 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .join(sig.select(F.col("node").alias("v"), F.col("sig").alias("sig_v")), "v")
         .mapInArrow(_agree, "u long, v long")
     )
-    links = written(_confirmed(texts, agreeing, "star"), "near-links")
+    links = written(_confirmed(texts, agreeing, "star", shingle), "near-links")
     roots = components(links)
 
     labelled = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("label"))
@@ -231,27 +237,27 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(
         _agreeing, "u long, v long"
     )
-    more = _confirmed(texts, pairs, "block")
+    more = _confirmed(texts, pairs, "block", shingle)
     roots = components(links.unionByName(more))
     groups = nodes.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("component_id"))
     return rows.select("doc_id", "n_shingles", "set_key"), groups
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, a row per document."""
-    rows, groups = near_groups(docs)
+    rows, groups = near_groups(docs, shingle)
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return rows.join(groups, "set_key", "left").select(
         "doc_id", "n_shingles", component.alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns; repeated rows once."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = near_duplicates(docs, shingle).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("__kept"))
     return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), 4)

@@ -263,6 +263,16 @@ def test_near_duplicates(hard, small):
     assert 2 not in ids and ids.count(10) == 1 and {1, 3, 4, 5, 6} <= set(ids)
 
 
+def test_shingle_size_decides(spark, hard):
+    base = [f"t{i}" for i in range(120)]
+    edited = [w if i not in (30, 60, 90) else f"new{i}" for i, w in enumerate(base)]
+    docs = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(edited))], "doc_id long, text string")
+    # 105 of 129 shingles of four words are shared, 101 of 131 of five
+    for size, kept in ((4, {1}), (5, {1, 2})):
+        assert {r.n_shingles for r in near.near_duplicates(docs, size).collect()} == {121 - size}
+        assert {r.doc_id for r in near.without_near_duplicates(docs, size).collect()} == kept
+
+
 def test_chain_of_near_duplicates_is_one_component(spark, hard):
     base = [f"t{i}" for i in range(400)]
     rows = [(100 + n, " ".join([*base[n * 12 :], *(f"n{j}" for j in range(n * 12))])) for n in range(12)]
