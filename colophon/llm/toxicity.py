@@ -6,8 +6,8 @@ naive Bayes log-count ratio, and logistic regression is fitted on the scaled
 columns. Labels are read for training rows only; language, source and ids are no
 inputs.
 
-The fit uses at most ``SAMPLE`` labelled rows of each class, those of least
-hashed id: a documented bound. One executor task fits on all n-grams of these, in
+The fit uses at most ``SAMPLE`` labelled documents of each class, those of least
+hashed id: a documented bound. Of rows that share an id the least text is learned from. One executor task fits on all n-grams of these, in
 the order of ids and texts; the driver gets the weights only. All documents are
 scored by their whole texts. A null or empty text has no features and gets the
 score of the intercept; if the labels lack a class, every score is 0.0 (no toxic
@@ -18,13 +18,13 @@ kept out of the way.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from colophon.llm.tables import documents_of, table
 from colophon.llm.words import _BYTE_POWERS, slices
@@ -32,7 +32,7 @@ from colophon.llm.words import _BYTE_POWERS, slices
 LENGTHS = (4, 5)
 BITS = 20
 SAMPLE = 2_000
-BLOCK = 1 << 19
+BLOCK = 1 << 18
 ALPHA = 0.5
 RIDGE = 1e-4
 STEPS = 150
@@ -55,49 +55,66 @@ def held_out(doc_id: Column) -> Column:
 
 
 def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct feature columns of each text, as ``(text, column)``, by text."""
+    """Distinct feature columns of each text, as ``(text, column)``, by text.
+
+    Bytes are read in blocks that overlap by the longest n-gram, so that beside its
+    features a long text takes no more memory than a short one.
+    """
     # a blank before and after each text, so that words at its ends look like others
     size = np.diff(at) + 2
     first = np.concatenate([[0], np.cumsum(size)])
-    code = np.full(int(first[-1]), _FOLD[32])
-    code[np.arange(len(data)) + 1 + 2 * np.repeat(np.arange(len(at) - 1), np.diff(at))] = _FOLD[data]
-    up, down = _BYTE_POWERS(len(code) + 1)
-    total = np.zeros(len(code) + 1, np.uint64)
-    np.cumsum(code * up[:-1], out=total[1:])
-    owner = np.repeat(np.arange(len(at) - 1, dtype=np.uint64), size)
+    code = np.full(int(first[-1]), 32, np.uint8)
+    code[np.arange(len(data)) + 1 + 2 * np.repeat(np.arange(len(at) - 1), np.diff(at))] = data
+    keys = [_keys(code, first, lo) for lo in range(0, len(code), BLOCK)]
+    # at most 4096 texts a slice: 12 bits of text and BITS of column
+    key = np.unique(np.concatenate(keys)) if len(keys) > 1 else keys[0] if keys else np.zeros(0, np.uint32)
+    return (key >> np.uint32(BITS)).astype(np.int32), (key & np.uint32((1 << BITS) - 1)).astype(np.int32)
+
+
+def _keys(code: np.ndarray, first: np.ndarray, lo: int) -> np.ndarray:
+    """Text and column, in one number, of the n-grams that begin in a block."""
+    hi = min(lo + BLOCK, len(code))
+    part = _FOLD[code[lo : hi + max(LENGTHS) - 1]]
+    up, down = _BYTE_POWERS(len(part) + 1)
+    total = np.zeros(len(part) + 1, np.uint64)
+    np.cumsum(part * up[:-1], out=total[1:])
+    owner = np.searchsorted(first, np.arange(lo, lo + len(part)), side="right") - 1
     keys = []
     for n in LENGTHS:
-        if len(code) < n:
+        count = min(hi - lo, len(part) - n + 1)
+        if count <= 0:
             continue
-        hashed = (total[n:] - total[:-n]) * down[: len(code) - n + 1]
+        hashed = (total[n : n + count] - total[:count]) * down[:count]
         hashed ^= hashed >> np.uint64(32)
         hashed *= np.uint64(0xD6E8FEB86659FD93 + 2 * n)
-        column = hashed >> np.uint64(64 - BITS)
-        one = owner[: len(column)] == owner[n - 1 :]
-        keys.append((owner[: len(column)][one] << np.uint64(BITS)) | column[one])
-    key = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-    # at most 4096 texts a slice: 12 bits of text and BITS of column
-    key = np.sort(key.astype(np.uint32))
-    key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
-    return (key >> np.uint32(BITS)).astype(np.int64), (key & np.uint32((1 << BITS) - 1)).astype(np.int64)
+        column = (hashed >> np.uint64(64 - BITS)).astype(np.uint32)
+        one = owner[:count] == owner[n - 1 : n - 1 + count]
+        keys.append((owner[:count][one].astype(np.uint32) << np.uint32(BITS)) | column[one])
+    return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint32)
+
+
+class Rows(NamedTuple):
+    """Some rows of the sample: their labels, their columns, and where each row's begin."""
+
+    label: np.ndarray
+    column: np.ndarray
+    first: np.ndarray
 
 
 def _emit_model(batches):
     """The fit on all rows of the one task: a row of weights and intercept."""
-    labels, owners, columns, n = [np.zeros(0)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0
+    blocks = []
     for rows, data, at in slices(batches):
         owner, column = features(data, at)
-        labels.append(rows.column("label").to_numpy().astype(np.float64))
-        owners.append((owner + n).astype(np.int32))
-        columns.append(column.astype(np.int32))
-        n += rows.num_rows
-    y = np.concatenate(labels)
-    if not y.any():
+        first = np.searchsorted(owner, np.arange(rows.num_rows + 1))
+        blocks.append(Rows(rows.column("label").to_numpy().astype(np.float64), column, first))
+    toxic = sum(b.label.sum() for b in blocks)
+    if not toxic:
         model = Model(None, -np.inf)
-    elif y.all():
+    elif toxic == sum(len(b.label) for b in blocks):
         model = Model(None, np.inf)
     else:
-        model = _regress(y, np.concatenate(owners), np.concatenate(columns))
+        model = _regress(blocks)
     weights = None if model.weights is None else model.weights.tobytes()
     yield pa.RecordBatch.from_arrays(
         [pa.array([weights], pa.binary()), pa.array([model.intercept])], ["weights", "intercept"]
@@ -115,7 +132,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = known.where("label = 1").orderBy(*order).limit(SAMPLE).unionByName(
         known.where("label = 0").orderBy(*order).limit(SAMPLE)
     )
-    rows = documents_of(docs).join(F.broadcast(chosen), "doc_id")
+    rows = (
+        documents_of(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    )
     # at most twice SAMPLE labelled ids; in this order sums are the same in every run
     found = rows.repartition(1).sortWithinPartitions("doc_id", "text").select("label", "text").mapInArrow(
         _emit_model, "weights binary, intercept double"
@@ -126,24 +145,38 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(None if weights is None else np.frombuffer(weights, np.float32), intercept)
 
 
-def _regress(y: np.ndarray, owner: np.ndarray, column: np.ndarray) -> Model:
+def _regress(blocks: list[Rows]) -> Model:
     """Log-count ratios, then ridge-penalised logistic regression on the scaled columns.
 
-    Features are read in blocks, so that beside them only vectors of columns and rows
-    are held.
+    Features are held once, four bytes each, and read a block at a time; beside them
+    there are only vectors of columns and of rows.
     """
     width = 1 << BITS
-    known = np.flatnonzero(np.bincount(column, minlength=width))
+    seen = np.zeros(width, bool)
+    for b in blocks:
+        seen[b.column] = True
+    known = np.flatnonzero(seen)
     place = np.zeros(width, np.int32)
     place[known] = np.arange(len(known), dtype=np.int32)
-    column = place[column]
-    blocks = [slice(i, i + BLOCK) for i in range(0, len(column), BLOCK)]
+    for b in blocks:
+        b.column[:] = place[b.column]
+    y = np.concatenate([b.label for b in blocks])
+    starts = np.cumsum([0] + [len(b.label) for b in blocks])
 
     def by_row(v: np.ndarray) -> np.ndarray:
-        return sum((np.bincount(owner[b], v[column[b]], len(y)) for b in blocks), np.zeros(len(y)))
+        out = np.zeros(len(y))
+        for b, lo in zip(blocks, starts):
+            filled = np.flatnonzero(np.diff(b.first))  # a row without features has no sum
+            if len(filled):
+                out[lo + filled] = np.add.reduceat(v[b.column], b.first[filled])
+        return out
 
     def by_column(v: np.ndarray) -> np.ndarray:
-        return sum((np.bincount(column[b], v[owner[b]], len(known)) for b in blocks), np.zeros(len(known)))
+        out = np.zeros(len(known))
+        for b, lo in zip(blocks, starts):
+            each = np.repeat(v[lo : lo + len(b.label)], np.diff(b.first))
+            out += np.bincount(b.column, each, len(known))
+        return out
 
     toxic, clean = ALPHA + by_column(y), ALPHA + by_column(1 - y)
     scale = np.log(toxic / toxic.sum()) - np.log(clean / clean.sum())
@@ -168,36 +201,38 @@ def _regress(y: np.ndarray, owner: np.ndarray, column: np.ndarray) -> Model:
     return Model(weights, float(b))
 
 
-def _scorer(model: Model, keep_text: bool):
-    def score(batches):
-        for rows, data, at in slices(batches):
-            total = np.full(rows.num_rows, model.intercept)
-            if model.weights is not None:
-                owner, column = features(data, at)
-                total += np.bincount(owner, model.weights[column], rows.num_rows)
-            p = 1 / (1 + np.exp(-np.clip(total, -60, 60))) if np.isfinite(model.intercept) else np.full(len(total), float(model.intercept > 0))
-            names = [n for n in rows.schema.names if n != "text" or keep_text]
-            yield pa.RecordBatch.from_arrays([*[rows.column(n) for n in names], pa.array(p)], [*names, "score"])
+def _scorer(model: Model):
+    """Scores of an Arrow array of texts at a time."""
 
-    return score
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in texts:
+            out = []
+            for rows, data, at in slices([pa.RecordBatch.from_arrays([array], ["text"])]):
+                total = np.full(rows.num_rows, model.intercept)
+                if model.weights is not None:
+                    owner, column = features(data, at)
+                    total += np.bincount(owner, model.weights[column], rows.num_rows)
+                if np.isfinite(model.intercept):
+                    out.append(1 / (1 + np.exp(-np.clip(total, -60, 60))))
+                else:
+                    out.append(np.full(rows.num_rows, float(model.intercept > 0)))
+            yield pa.array(np.concatenate(out) if out else np.zeros(0))
+
+    return F.arrow_udf(score, "double")
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, score``, a row per document."""
-    return documents_of(docs).mapInArrow(_scorer(model, False), "doc_id long, score double")
+    return documents_of(docs).select("doc_id", _scorer(model)("text").alias("score"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic, with all their columns.
 
-    The text that is scored travels as ``text``; the rows' own columns as one struct.
+    Only the text goes to Python, and only its score comes back.
     """
-    model = fit(docs, labels)
-    row = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    out = row.mapInArrow(
-        _scorer(model, False), T.StructType([row.schema["row"], T.StructField("score", T.DoubleType())])
-    )
-    return out.where(F.col("score") < THRESHOLD).select("row.*")
+    score = _scorer(fit(docs, labels))(F.col("text").cast("string"))
+    return docs.where(score < THRESHOLD)
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
