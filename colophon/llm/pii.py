@@ -14,12 +14,13 @@ table gives no rows; other columns are ignored by the query and kept by
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from colophon.llm import crf, tagging, words
 from colophon.llm.tables import documents_of, table
@@ -64,6 +65,12 @@ def _emails(data, at, raw):
             yield doc, lo, done, "email"
 
 
+def _octet(part: bytes) -> bool:
+    """At most 255, of any number of digits."""
+    significant = part.lstrip(b"0")
+    return len(significant) < 3 or len(significant) == 3 and significant <= b"255"
+
+
 def _ips(data, at, raw):
     starts, ends = tagging.runs(_IP_CHAR[data], at)
     keep = crf._sums(data == ord("."), starts, ends) >= 3
@@ -73,7 +80,7 @@ def _ips(data, at, raw):
             edges = np.cumsum([0] + [len(p) + 1 for p in parts]).tolist()
             for i in range(0, len(parts) - 3, 4):
                 four = parts[i : i + 4]
-                if all(len(p.lstrip(b"0")) <= 3 and int(p) <= 255 for p in four):
+                if all(map(_octet, four)):
                     yield tagging.text_of(at, lo), place + edges[i], place + edges[i + 4] - 1, "ip"
 
 
@@ -157,39 +164,45 @@ def spans(docs: DataFrame) -> DataFrame:
 
 
 def _masker(model: crf.Model):
-    def mask(batches):
+    """Masked texts of an Arrow array of texts at a time."""
+
+    def mask(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         lookup = crf.Lookup(model.keys)
-        for rows, data, at in words.slices(batches):
-            base, added = tagging.found(patterns, model, lookup, data, at)
-            texts = rows.column("text").to_pylist()
-            for doc in base.keys() | added.keys():
-                raw, out, last = data[at[doc] : at[doc + 1]].tobytes(), [], 0
-                for lo, hi, kind in sorted(base.get(doc, []) + added.get(doc, [])):
-                    lo, hi = lo - int(at[doc]), hi - int(at[doc])
-                    if lo >= last:  # of overlapping spans the first names the kind
-                        out += [raw[last:lo], f"[{kind.upper()}]".encode()]
-                    last = max(last, hi)
-                texts[doc] = b"".join([*out, raw[last:]]).decode()
-            yield pa.RecordBatch.from_arrays([rows.column("row"), pa.array(texts, pa.string())], ["row", "masked"])
-
-    return mask
+        for array in arrays:
+            out, done = [], 0
+            for rows, data, at in words.slices([pa.RecordBatch.from_arrays([array], ["text"])]):
+                base, added = tagging.found(patterns, model, lookup, data, at)
+                for doc in sorted(base.keys() | added.keys()):
+                    raw, cut, last = data[at[doc] : at[doc + 1]].tobytes(), [], 0
+                    for lo, hi, kind in sorted(base.get(doc, []) + added.get(doc, [])):
+                        lo, hi = lo - int(at[doc]), hi - int(at[doc])
+                        if lo >= last:  # of overlapping spans the first names the kind
+                            cut += [raw[last:lo], f"[{kind.upper()}]".encode()]
+                        last = max(last, hi)
+                    out.append((done + doc, b"".join([*cut, raw[last:]]).decode()))
+                done += rows.num_rows
+            yield _replaced(array, out)
+
+    return F.arrow_udf(mask, "string")
+
+
+def _replaced(array: pa.Array, changed: list[tuple[int, str]]) -> pa.Array:
+    """The array with some values exchanged."""
+    if not changed:
+        return array
+    here = np.zeros(len(array), bool)
+    here[[i for i, _ in changed]] = True
+    return pc.replace_with_mask(array, pa.array(here), pa.array([t for _, t in changed], array.type))
 
 
 def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data replaced by ``[KIND]``, and ``n_chars``, if any, counted anew."""
     model = tagging.trained(examples, KINDS)
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))
-    kind = T.StructType([rows.schema["row"], T.StructField("masked", T.StringType())])
-    out = rows.mapInArrow(_masker(model), kind)
-    columns = []
-    for name, dtype in docs.dtypes:
-        value = F.col("row")[name]
-        if name == "text":
-            value = F.col("masked")
-        elif name == "n_chars":
-            value = F.when(value.isNotNull(), F.length("masked").cast(dtype))
-        columns.append(value.alias(name))
-    return out.select(*columns)
+    out = docs.withColumn("text", _masker(model)(F.col("text").cast("string")))
+    counts = [(n, t) for n, t in docs.dtypes if n == "n_chars"]
+    for name, dtype in counts:
+        out = out.withColumn(name, F.when(F.col(name).isNotNull(), F.length("text").cast(dtype)))
+    return out
 
 
 def query(spark, sf_dir: str) -> DataFrame:
