@@ -10,10 +10,11 @@ whole sequence is the one shingle. Two documents are linked if
 2. Every node of a band bucket is compared with the least node of it. Each
    confirmed link joins two nodes; this merges large groups with a row per member.
 3. Buckets that still hold several components are dealt in blocks of about
-   ``BLOCK`` members; each pair of blocks is a group of its own, in which
-   sketches of different components are compared. Only pairs whose sketches agree
-   in ``AGREE`` of the coordinates go on, so no bucket emits all its pairs.
-4. Candidates of both steps are confirmed on the full sets.
+   ``BLOCK`` shingles. A block is held by one task, the members of the later blocks
+   of its bucket stream past it. Of different components, pairs whose sketches agree
+   in ``AGREE`` of the coordinates are confirmed on the full sets at once, and only
+   links that join two components become rows: fewer than a group has members.
+4. Candidates of step 2 are confirmed on the full sets by joins.
 
 The first ``BANDED`` of ``SIZE`` coordinates, in bands of ``WIDTH``, miss a pair of
 similarity 0.8 with probability 3e-6; ``AGREE`` of all coordinates lies 4.4 standard
@@ -27,6 +28,8 @@ no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,12 +37,12 @@ from pyspark.sql import functions as F
 
 from colophon.llm import sketch, words
 from colophon.llm.components import components
-from colophon.llm.tables import counted, documents_of, key_changes, runs, sized, table, written
+from colophon.llm.tables import counted, documents_of, sized, table, written
 
 SHINGLE = 4
 SIZE, BANDED, WIDTH = 640, 160, 5
 AGREE = 0.73
-BLOCK = 256
+BLOCK, MEMBERS = 1 << 21, 4096
 SHARED, UNITED = 100, 80
 
 
@@ -121,37 +124,93 @@ def _whole_sets(shingle: int):
     return of
 
 
-def _agreeing(batches):
-    """Pairs of one block pair whose components differ and whose sketches agree.
-
-    A pair that shares several buckets is given in the first of them only.
-    """
-    for batch in runs(batches, ["band", "i", "j"]):
-        col = {k: batch.column(k).to_numpy() for k in ("i", "j", "own", "node", "label", "n_shingles")}
-        sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, SIZE)
-        bands = batch.column("bands").flatten().to_numpy().reshape(batch.num_rows, -1)
-        here = batch.column("band").to_numpy()
-        cuts = [0, *key_changes(batch, ["band", "i", "j"]), batch.num_rows]
-        left, right = [], []
-        for lo, hi in zip(cuts, cuts[1:]):
-            own = col["own"][lo:hi]
-            if col["i"][lo] == col["j"][lo]:
-                a = b = np.arange(lo, hi)
-            else:
-                a, b = lo + np.flatnonzero(own == 0), lo + np.flatnonzero(own == 1)
-            n = col["n_shingles"]
-            for x in a:
-                y = b[b > x] if a is b else b
-                y = y[col["label"][y] != col["label"][x]]
-                y = y[SHARED * np.minimum(n[y], n[x]) >= UNITED * np.maximum(n[y], n[x])]
-                y = y[(sig[y] == sig[x]).mean(axis=1) >= AGREE]
-                y = y[bands[x][(bands[y] == bands[x]).argmax(axis=1)] == here[lo]]
-                left.append(np.full(len(y), col["node"][x]))
-                right.append(col["node"][y])
-        if left:
-            u, v = np.concatenate(left), np.concatenate(right)
-            pairs = np.unique(np.column_stack([np.minimum(u, v), np.maximum(u, v)]), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+class _Group:
+    """One block of a bucket, and the components that its links have joined so far."""
+
+    def __init__(self):
+        self.parts: list[list] = []
+        self.parent: dict[int, int] = {}
+
+    def root(self, label: int) -> int:
+        while (up := self.parent.get(label, label)) != label:
+            self.parent[label] = self.parent.get(up, up)
+            label = up
+        return label
+
+    def add(self, member: list) -> None:
+        self.parts.append(member)
+
+    def close(self) -> None:
+        """The block is complete: columns for all its members."""
+        node, label, n, bands, sig, sets = zip(*self.parts)
+        self.node, self.n = np.array(node), np.array(n)
+        self.label = np.array([self.root(x) for x in label])
+        self.bands, self.sig = np.stack(bands), np.stack(sig)
+        self.sets, self.parts = list(sets), []
+
+    def links(self, member: list, band: int, lo: int) -> Iterator[tuple[int, int]]:
+        """Links of a member to those of the block from ``lo`` on that join two components."""
+        node, label, n, bands, sig, own = member
+        label = self.root(label)
+        y = lo + np.flatnonzero(self.label[lo:] != label)
+        y = y[SHARED * np.minimum(self.n[y], n) >= UNITED * np.maximum(self.n[y], n)]
+        # a pair that shares several buckets is compared in the first of them only
+        y = y[bands[(self.bands[y] == bands).argmax(axis=1)] == band]
+        y = y[(self.sig[y] == sig).mean(axis=1) >= AGREE]
+        if not len(y):
+            return
+        others = [self.sets[i] for i in y]
+        size = np.array([len(x) for x in others])
+        joined = np.concatenate(others)
+        place = np.minimum(np.searchsorted(own, joined), len(own) - 1)
+        shared = np.add.reduceat(own[place] == joined, np.cumsum(size) - size)
+        for i in y[SHARED * shared >= UNITED * (size + len(own) - shared)].tolist():
+            old = int(self.label[i])
+            if old != label:
+                yield int(self.node[i]), node
+                self.parent[old] = label
+                self.label[self.label == old] = label
+
+
+def _linking(batches):
+    """Links that join components, from rows sorted by bucket, block and ``later``."""
+    group, key, closed, out = _Group(), None, False, []
+    for batch in batches:
+        band, block, later, node, label, n = (
+            batch.column(k).to_numpy() for k in ("band", "block", "later", "node", "label", "n_shingles")
+        )
+        bands = batch.column("bands").flatten().to_numpy().reshape(batch.num_rows, -1) if batch.num_rows else None
+        for r in range(batch.num_rows):
+            if key != (band[r], block[r]):
+                if key is not None and not closed:
+                    out += _within(group, key[0])
+                group, key, closed = _Group(), (band[r], block[r]), False
+            sig = np.frombuffer(batch.column("sig")[r].as_buffer(), np.uint8).copy()
+            shingles = batch.column("shingles")[r].values.to_numpy().copy()
+            member = [int(node[r]), int(label[r]), int(n[r]), bands[r].copy(), sig, shingles]
+            if not later[r]:
+                group.add(member)
+                continue
+            if not closed:
+                out += _within(group, key[0])
+                closed = True
+            out += group.links(member, key[0], 0)
+        yield _pairs(out)
+        out = []
+    if key is not None and not closed:
+        yield _pairs(_within(group, key[0]))
+
+
+def _within(group: _Group, band: int) -> list[tuple[int, int]]:
+    """Links between the members of a block."""
+    members = group.parts
+    group.close()
+    return [link for i, member in enumerate(members) for link in group.links(member, band, i + 1)]
+
+
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    u, v = zip(*links) if links else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
 def _agree(batches):
@@ -162,18 +221,21 @@ def _agree(batches):
             yield batch.select(["u", "v"]).filter(pa.array(keep))
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, name: str, shingle: int) -> DataFrame:
-    """The pairs that are links, checked on the full sets of both."""
-    pairs = written(pairs.distinct(), f"{name}-pairs")
-    ids, n = counted(
-        pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), f"{name}-ids"
-    )
+def _sets(docs: DataFrame, ids: DataFrame, name: str, shingle: int) -> DataFrame:
+    """The full shingle sets of some documents, ``(doc_id, set_key, shingles)``."""
+    ids, n = counted(ids, f"{name}-ids")
     few = sized(ids, n)
     sets = (
         docs.join(few, "doc_id", "left_semi").mapInArrow(_whole_sets(shingle), "doc_id long, set_key binary, shingles array<long>")
         .dropDuplicates(["doc_id", "set_key"])
     )
-    sets = written(sets.select("doc_id", "shingles"), f"{name}-sets")
+    return written(sets, f"{name}-sets")
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame, name: str, shingle: int) -> DataFrame:
+    """The pairs that are links, checked on the full sets of both."""
+    pairs = written(pairs.distinct(), f"{name}-pairs")
+    sets = _sets(docs, pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), name, shingle)
     u = sets.select(F.col("doc_id").alias("u"), F.col("shingles").alias("su"))
     v = sets.select(F.col("doc_id").alias("v"), F.col("shingles").alias("sv"))
     shared = F.size(F.array_intersect("su", "sv"))
@@ -185,6 +247,36 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, name: str, shingle: int) -> Da
     )
 
 
+def _open_links(texts: DataFrame, nodes: DataFrame, members: DataFrame, roots: DataFrame, shingle: int) -> DataFrame:
+    """Links between the components of buckets that hold several, without those that join nothing.
+
+    A member is held in the task of its own block and streams past those of the
+    earlier blocks of its bucket.
+    """
+    labelled = members.join(roots, "node", "left").select(
+        "band", "node", "set_key", "n_shingles", F.coalesce("root", "node").alias("label")
+    )
+    blocks = F.greatest(
+        F.ceil(F.sum("n_shingles") / BLOCK), F.ceil(F.count(F.lit(1)) / MEMBERS)
+    ).cast("int")
+    open_bands = labelled.groupBy("band").agg(
+        F.min("label").alias("a"), F.max("label").alias("b"), blocks.alias("blocks")
+    ).where("a <> b")
+    still = written(labelled.join(open_bands.select("band", "blocks"), "band"), "near-open")
+    sets = _sets(texts, still.select(F.col("node").alias("doc_id")).distinct(), "open", shingle)
+    sorted_sets = sets.select(F.col("doc_id").alias("node"), "set_key", F.array_sort("shingles").alias("shingles"))
+    whole = nodes.select("node", "set_key", "sig", "bands").join(sorted_sets, ["node", "set_key"])
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = (
+        still.withColumn("own", own).join(whole, ["node", "set_key"])
+        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("own"))))
+        .select("band", "block", (F.col("block") < F.col("own")).cast("int").alias("later"), "node", "label", "n_shingles", "sig", "bands", "shingles")
+    )
+    return dealt.repartition("band", "block").sortWithinPartitions("band", "block", "later").mapInArrow(
+        _linking, "u long, v long"
+    )
+
+
 def described(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """Each document's set size, set key, band hashes and sketch bytes, map-only."""
     return documents_of(docs).mapInArrow(
@@ -205,7 +297,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, Dat
         ).where("node is not null"),
         "near-nodes",
     )
-    slots = nodes.select("node", F.explode("bands").alias("band"))
+    slots = nodes.select("node", "set_key", "n_shingles", F.explode("bands").alias("band"))
     shared = slots.groupBy("band").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(slots.join(shared.drop("n"), "band"), "near-members")
 
@@ -219,25 +311,7 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE) -> tuple[DataFrame, Dat
     links = written(_confirmed(texts, agreeing, "star", shingle), "near-links")
     roots = components(links)
 
-    labelled = members.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("label"))
-    open_bands = labelled.groupBy("band").agg(
-        F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("n")
-    ).where("a <> b")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = (
-        labelled.join(open_bands.select("band", blocks.alias("blocks")), "band")
-        .join(nodes.select("node", "n_shingles", "sig", "bands"), "node")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-            (F.col("block") > F.col("other")).cast("int").alias("own"), "node", "label", "n_shingles", "sig", "bands",
-        )
-    )
-    pairs = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(
-        _agreeing, "u long, v long"
-    )
-    more = _confirmed(texts, pairs, "block", shingle)
+    more = written(_open_links(texts, nodes, members, roots, shingle), "near-more")
     roots = components(links.unionByName(more))
     groups = nodes.join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("component_id"))
     return rows.select("doc_id", "n_shingles", "set_key"), groups
