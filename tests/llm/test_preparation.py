@@ -214,6 +214,14 @@ def test_decoding_equals_plain_viterbi():
     assert crf.decode(model, lookup, read).tolist() == path[::-1]
 
 
+def test_numbers_of_any_length(spark, hard):
+    texts = ["0" * 5000 + ".1.1.1 9" * 3, "1.2.3.4." * 5000, "7" * 2_000_000 + "@" + "x." * 3000 + "y", "256.1.1.1 00255.0.0.01"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.spans(docs).collect()}
+    assert [got[i].n_ip for i in range(4)] == [3, 5000, 0, 1] and got[2].n_email == 1
+    assert {r.text for r in pii.masked(docs).where("doc_id = 1").collect()} == {"[IP]." * 5000}
+
+
 def test_masking(hard):
     out = {r.source: r for r in pii.masked(hard.withColumn("n_chars", F.length("text"))).collect()}
     text = out["s14"].text
@@ -273,6 +281,74 @@ def test_shingle_size_decides(spark, hard):
         assert {r.doc_id for r in near.without_near_duplicates(docs, size).collect()} == kept
 
 
+def copies_of_one(n, words=200, edits=4, seed=5):
+    """Near copies of one text, most of them alike by less than the rule."""
+    rng = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        w = [f"t{j}" for j in range(words)]
+        for j in rng.choice(words, edits, replace=False):
+            w[j] = f"x{rng.integers(1 << 40)}"
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def links_of(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    nodes = near.described(docs, 4).withColumnRenamed("doc_id", "node")
+    members = nodes.select("node", "set_key", "n_shingles", F.explode("bands").alias("band"))
+    none = spark.createDataFrame([], "node long, root long")
+    return near._open_links(docs, nodes, members, none, 4).collect()
+
+
+@pytest.mark.parametrize("members, block", [(4096, 1 << 21), (50, 1 << 21), (4096, 5000)])
+def test_block_links_are_forests(spark, hard, monkeypatch, members, block):
+    """Without the star step: every component, by fewer rows of a block than a group has members."""
+    monkeypatch.setattr(near, "MEMBERS", members)
+    monkeypatch.setattr(near, "BLOCK", block)
+    for n in (120, 240):
+        rows = copies_of_one(n)
+        want = {r[0]: r[2] for r in brute.near(rows)}
+        root = {i: i for i, _ in rows}
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        got = links_of(spark, rows)
+        for u, v in sorted(map(tuple, got)):
+            u, v = sorted((find(u), find(v)))
+            root[v] = u
+        assert {i: find(i) for i in root} == want
+        if (members, block) == (4096, 1 << 21):
+            assert len(got) < 32 * n  # a forest of each of 32 bands at most
+
+
+def test_recall_just_above_the_threshold(spark, hard):
+    """Pairs of similarity 0.80 to 0.82 are linked."""
+    rng = np.random.default_rng(9)
+    rows, linked = [], 0
+    for i in range(400):
+        length = int(rng.integers(60, 400))
+        w = [f"a{i}x{j}" for j in range(length)]
+        other = list(w)
+        while True:  # one more word changed, while the pair stays linked
+            trial = list(other)
+            trial[int(rng.integers(length))] = f"b{rng.integers(1 << 40)}"
+            a, b = (brute.shingles(" ".join(x)) for x in (w, trial))
+            if len(a & b) / len(a | b) < 0.8:
+                break
+            other = trial
+        a, b = (brute.shingles(" ".join(x)) for x in (w, other))
+        if len(a & b) / len(a | b) <= 0.82:
+            linked += 1
+            rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(other))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sum(not r.kept for r in near.near_duplicates(docs, 4).collect())
+    assert linked > 100 and found >= 0.99 * linked
+
+
 def test_chain_of_near_duplicates_is_one_component(spark, hard):
     base = [f"t{i}" for i in range(400)]
     rows = [(100 + n, " ".join([*base[n * 12 :], *(f"n{j}" for j in range(n * 12))])) for n in range(12)]
@@ -356,6 +432,23 @@ def test_toxicity_fit_keeps_rare_ngrams(spark):
     assert (toxicity.fit(docs, labels).weights[rare] > 0).all()
 
 
+def test_toxicity_features_of_long_texts(monkeypatch):
+    rng = np.random.default_rng(0)
+    texts = [rng.integers(32, 123, n).astype(np.uint8).tobytes() for n in (0, 3, 1000, 20_000, 5, 0)]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    whole = toxicity.features(data, at)
+    monkeypatch.setattr(toxicity, "BLOCK", 977)
+    assert all((a == b).all() for a, b in zip(whole, toxicity.features(data, at)))
+
+
+def test_toxicity_learns_from_one_text_of_an_id(spark):
+    ids = [i for i in range(90) if zlib.crc32(str(i).encode()) % 3 != 1]
+    rows = [(i, f"plain {i} hills" + " grobnik" * (i % 2)) for i in ids]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    once, often = (spark.createDataFrame(r, "doc_id long, text string") for r in (rows, rows + [(ids[0], "zz")] * 50))
+    assert (toxicity.fit(once, labels).weights == toxicity.fit(often, labels).weights).all()
+
+
 # empty tables and the pipeline
 
 
