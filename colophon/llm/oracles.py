@@ -93,9 +93,60 @@ select conv_id, participant, position, turn, speaker, chat_role, head || content
 from placed
 """
 
+MIXTURE = f"""
+with sized as (
+  select doc_id, source, cast(len({_PLAIN.format(text="text")}) as bigint) size,
+    md5(cast(doc_id as varchar)) shuffled
+  from documents),
+sources as (
+  select source, sum(size)::bigint source_size, row_number() over (order by source nulls last) - 1 nth
+  from sized group by source),
+weighed as (select *, nth % 3 + 1 weight, 3 * source_size cap from sources),
+steps as (
+  select *, sum(source_size) over () - coalesce(sum(cap) over filling, 0) words_left,
+    sum(weight) over () - coalesce(sum(weight) over filling, 0) weight_left,
+    row_number() over (order by cap / weight, nth) step
+  from weighed
+  window filling as (order by cap / weight, nth rows between unbounded preceding and 1 preceding)),
+shares as (
+  select words_left::double / weight_left::double share, step, cap >= words_left::double / weight_left::double * weight stops
+  from steps),
+aims as (
+  select source, source_size, nth, case when cap < share * weight then cap::double else share * weight end target
+  from weighed, (select share from shares where stops order by step limit 1)),
+placed as (
+  select *, sum(size) over (partition by source order by shuffled nulls first, doc_id nulls first, size
+    rows unbounded preceding) - size here
+  from sized),
+due as (
+  select doc_id, size, source_size, target, nth, epoch, here here_of,
+    least(size, round(target)::bigint - epoch * source_size - here) words,
+    case when target > 0 then (epoch * source_size + here)::double / target end share
+  from placed join aims using (source), range(3) e(epoch)
+  union all
+  select doc_id, size, source_size, target, nth, epoch, here here_of,
+    least(size, round(target)::bigint - epoch * source_size - here) words,
+    case when target > 0 then (epoch * source_size + here)::double / target end share
+  from placed join aims on placed.source is null and aims.source is null, range(3) e(epoch)),
+knots as (
+  select *, case when share <= done then 0e0 else 5e-1 end knot, case when share <= done then share else share - done end rest,
+    case when share <= done then early else 1e0 end rate
+  from (select *, case nth % 3 when 0 then 0.625e0 when 1 then 5e-1 else 0.375e0 end done,
+    case nth % 3 when 0 then 1.5e0 when 1 then 1e0 else 5e-1 end early,
+    case nth % 3 when 0 then -2e0 when 1 then 0e0 else 2e0 end twice from due)),
+timed as (
+  select *, case when share > 1 then 1e0 else
+    knot + case when rest > 0 then 2 * rest / (rate + sqrt(greatest(rate * rate + twice * rest, 0e0))) else 0e0 end end t
+  from knots)
+select doc_id, size, source_size, target, coalesce(sum(words) filter (words > 0), 0)::bigint taken,
+  count(*) filter (words > 0)::integer passes, min(t) filter (words > 0) as position
+from timed group by doc_id, size, source_size, target, here_of
+"""
+
 SQL = {
     "op1_substring_dedup": SUBSTRINGS,
     "op2_decontaminate": DECONTAMINATE,
     "op6_near_duplicates": NEAR,
     "op8_rotate": ROTATE,
+    "op12_mixture": MIXTURE,
 }

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colophon.llm import debruijn, decontaminate, fingerprint, katz, near, oracles, pack, pii, rotate, secrets, toxicity
+from colophon.llm import (
+    debruijn, decontaminate, fingerprint, katz, mixture, near, oracles, pack, pii, rotate, secrets, toxicity,
+)
 from colophon.llm.ship import ship
 
 _QUERIES = {
@@ -18,6 +20,7 @@ _QUERIES = {
     "op8_rotate": rotate.query,
     "op9_toxicity": toxicity.query,
     "op10_secrets": secrets.query,
+    "op12_mixture": mixture.query,
 }
 
 
