@@ -119,8 +119,9 @@ def mixed(docs: DataFrame, weights=WEIGHTS, epochs: int = EPOCHS, knots=KNOTS, r
     ``passes`` lists what training takes of the document, each time with its
     ``position`` (0 to 1) and its ``words``; all but a source's last are whole.
     """
+    counted = written(sizes(docs), "mix-sizes")  # texts are read once, the sort samples its input first
     rows = running.arranged(
-        sizes(docs).withColumn("shuffled", F.md5(F.col("doc_id").cast("string"))),
+        counted.withColumn("shuffled", F.md5(F.col("doc_id").cast("string"))),
         ["source", "shuffled", "doc_id", "size"], "mix-rows",
     )
     parts = written(running.key_parts(rows, ["source"], {"part_size": F.sum("size")}), "mix-parts")
