@@ -143,10 +143,53 @@ select doc_id, size, source_size, target, coalesce(sum(words) filter (words > 0)
 from timed group by doc_id, size, source_size, target, here_of
 """
 
+# the unsigned CRC-32 of an ASCII string
+_CRC = (
+    "xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({text}, ''), "
+    "lambda ch: ascii(ch)::bigint)), lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), "
+    "lambda reg, bit: xor(reg >> 1, 3988292384 * (reg & 1)))))"
+)
+
+TRIE = f"""
+with said as (
+  select conv_id, turn, coalesce(role, '') r, coalesce(text, '') x from conversations where conv_id is not null),
+turns as (
+  select conv_id, r, x, row_number() over (
+    partition by conv_id order by turn nulls first, left(r, 32), left(x, 32), md5(r) || md5(x)) p
+  from said),
+counted as (select conv_id, count(*) n from turns group by conv_id),
+convs as (
+  select conv_id c, conv_id - conv_id % 5 b, {_CRC.format(text="conv_id::varchar")} % 9 h from counted),
+rebuilt as (
+  select c, p d, r, x from convs join turns on conv_id = b and p <= h
+  union all
+  select c, least(h, coalesce(n, 0)) + p - h, r, x
+  from convs join turns on turns.conv_id = c and p > h left join counted on counted.conv_id = b),
+whole as (
+  select c, coalesce(list({{'r': r, 'x': x}} order by d) filter (d is not null), []) s
+  from convs left join rebuilt using (c) group by c),
+prefixes as (
+  select c, d, len(s) = d ends, case when d > 0 then strlen(s[d].x) else 0 end bytes,
+    md5(to_json(s[1:d])::varchar) k, case when d > 0 then md5(to_json(s[1:d - 1])::varchar) end up
+  from (select c, s, unnest(range(len(s) + 1)) d from whole)),
+nodes as (
+  select k, any_value(up) up, any_value(d) d, min(c) conv_id, count(*) n_convs, any_value(bytes) bytes,
+    sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (ends), '')) ends_sha256
+  from prefixes group by k),
+children as (select up k, count(*) n_children from nodes group by up),
+below as (
+  select p.k, count(*) filter (n_children is null) n_leaves, sum((n_convs - 1) * n.bytes) saved
+  from nodes n join prefixes p on p.c = n.conv_id and p.d <= n.d left join children on children.k = n.k group by p.k)
+select n.conv_id, n.d as depth, u.conv_id parent_conv_id, n.n_convs, coalesce(n_children, 0)::bigint n_children,
+  n_leaves, saved::bigint saved_tokens, n.ends_sha256
+from nodes n join below using (k) left join children using (k) left join nodes u on u.k = n.up
+"""
+
 SQL = {
     "op1_substring_dedup": SUBSTRINGS,
     "op2_decontaminate": DECONTAMINATE,
     "op6_near_duplicates": NEAR,
     "op8_rotate": ROTATE,
+    "op11_prefix_trie": TRIE,
     "op12_mixture": MIXTURE,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from colophon.llm import (
-    debruijn, decontaminate, fingerprint, katz, mixture, near, oracles, pack, pii, rotate, secrets, toxicity,
+    debruijn, decontaminate, fingerprint, katz, mixture, near, oracles, pack, pii, rotate, secrets, toxicity, trie,
 )
 from colophon.llm.ship import ship
 
@@ -20,6 +20,7 @@ _QUERIES = {
     "op8_rotate": rotate.query,
     "op9_toxicity": toxicity.query,
     "op10_secrets": secrets.query,
+    "op11_prefix_trie": trie.query,
     "op12_mixture": mixture.query,
 }
 
