@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from colophon.llm import running
 from colophon.llm.tables import table, written
-from colophon.sources.shared import materialize
 
 EPOCHS = 3
 WEIGHTS = (1, 2, 3)

