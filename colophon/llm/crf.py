@@ -1,9 +1,10 @@
 """Linear-chain conditional random fields over tokens, in numpy batches.
 
 Tokens are runs without ASCII white space. Features are the shape of a token and
-of its neighbours (letters, capitals and digits as classes, runs collapsed),
-their lower-cased words, digit counts and lengths, and a feature of the whole
-text. Training is maximum likelihood by forward-backward over a small labelled
+of its neighbours (letters, capitals and digits as classes, runs collapsed), their
+form (digits one by one, all signs alike), the signs between letters or
+digits, their letters alone, their lower-cased
+words, digit counts and lengths, and a feature of the whole text. Training is maximum likelihood by forward-backward over a small labelled
 table; decoding is Viterbi.
 
 Decoding is cut exactly: where label O beats all others by more than the
@@ -35,8 +36,35 @@ _BUCKET = np.array([0, 1, 2, 3, 4, 5, 5, 5, 6, 6, 6, 6, 7, 7, 8, 8, 9, 9, 9, 9]
 
 
 class Tokens(NamedTuple):
+    """Tokens and the feature keys that they share.
+
+    Most keys depend on a token's kind alone, what it is written like; kinds are few, so
+    weights are looked up per kind. A row is added behind the kinds for the ends of a text.
+    """
+
     found: words.Words
-    keys: np.ndarray  # (tokens, slots)
+    kind: np.ndarray  # per token
+    before: np.ndarray  # the kind of the token before, or the last row
+    after: np.ndarray
+    own: np.ndarray  # (kinds, slots) of a token itself
+    left: np.ndarray  # of the token before it
+    right: np.ndarray  # of the token after it
+    wide: np.ndarray  # (places, 1): digits of three tokens
+    wide_at: np.ndarray
+    busy: np.ndarray  # (kinds * 4, 1): shape and how busy the text is with signs
+    busy_at: np.ndarray
+
+    def groups(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Feature keys and, per token, the row of them."""
+        return [
+            (self.own, self.kind), (self.left, self.before), (self.right, self.after),
+            (self.wide, self.wide_at), (self.busy, self.busy_at),
+        ]
+
+    @property
+    def keys(self) -> np.ndarray:
+        """(tokens, slots)"""
+        return np.concatenate([keys[at] for keys, at in self.groups()], axis=1)
 
 
 def _buckets(counts: np.ndarray) -> np.ndarray:
@@ -49,57 +77,91 @@ def _sums(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return total[end] - total[start]
 
 
+def _hashed(values: np.ndarray, place: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each token's values; ``values`` lie at ``place``, in order."""
+    up, down = words._BYTE_POWERS(len(place) + 1)
+    total = np.zeros(len(place) + 1, _U)
+    np.cumsum(values * up[: len(place)], out=total[1:])
+    s, e = np.searchsorted(place, start), np.searchsorted(place, end)
+    return words.mix((total[e] - total[s]) * down[s])
+
+
 def tokens(data: np.ndarray, at: np.ndarray) -> Tokens:
-    """Tokens of all texts with one feature key per slot."""
+    """Tokens of all texts with their feature keys."""
     found = words.split(data, at, words.LOWER)
     start, end = found.start, found.end
     count = len(start)
     code = _SHAPE[data]
-    new = code != 0
-    new[1:] &= code[1:] != code[:-1]
-    new[start] = True
-    place = np.flatnonzero(new)
-    up, down = words._BYTE_POWERS(len(place) + 1)
-    total = np.zeros(len(place) + 1, _U)
-    np.cumsum(code[place] * up[:-1], out=total[1:])
-    s, e = np.searchsorted(place, start), np.searchsorted(place, end)
-    shape = words.mix((total[e] - total[s]) * down[s])
-    digits = _buckets(_sums(code == 3, start, end))
-    length = _buckets(end - start)
-    marks = _sums((code > 3) & (code != 44) & (code != 46), at[:-1], at[1:])
-    busy = np.minimum(16 * marks // np.maximum(np.diff(at), 1), 3).astype(_U)[found.doc]
-
-    head = np.zeros(count, bool)
-    tail = np.zeros(count, bool)
+    change = np.ones(len(code), bool)
+    change[1:] = code[1:] != code[:-1]
+    change[start] = True
+    place = np.flatnonzero((code != 0) & change)
+    shape = _hashed(code[place], place, start, end)  # runs of letters, capitals, digits and each sign
+
+    # kinds: equal but for the letters' case, and of equal shape
+    mixed = found.hash ^ words.mix(shape, 3)
+    _, first, kind = np.unique(mixed, return_index=True, return_inverse=True)
+    kinds, s, e = len(first), start[first], end[first]
+    word, shape = found.hash[first], shape[first]
+    digits, length = _buckets(_sums(code == 3, s, e)), _buckets(e - s)
+    # digits one by one, any signs alike
+    plain = np.where(code > 3, _U(4), code)
+    step = np.ones(len(plain), bool)
+    step[1:] = (plain[1:] != plain[:-1]) | (plain[1:] == 3)
+    step[start] = True
+    place = np.flatnonzero((plain != 0) & step)
+    form = _hashed(plain[place], place, s, e)
+    # signs between letters or digits, whichever
+    rough = np.where((code > 0) & (code <= 3), _U(1), code)
+    step = np.ones(len(rough), bool)
+    step[1:] = rough[1:] != rough[:-1]
+    step[start] = True
+    place = np.flatnonzero((rough != 0) & step)
+    mask = _hashed(rough[place], place, s, e)
+    # letters alone, of any case
+    place = np.flatnonzero((code == 1) | (code == 2))
+    core = _hashed(words.LOWER[data[place]].astype(_U), place, s, e)
+
+    def slots(number: int, *values: np.ndarray) -> np.ndarray:
+        rows = [words.mix(np.append(v, _U(7)), number + i) for i, v in enumerate(values)]
+        return np.stack(rows, axis=1)
+
+    head, tail = np.zeros(count, bool), np.zeros(count, bool)
     some = found.first[1:] > found.first[:-1]
     head[found.first[:-1][some]] = True
     tail[found.first[1:][some] - 1] = True
+    before, after = np.full(count, kinds), np.full(count, kinds)
+    before[1:] = kind[:-1]
+    after[:-1] = kind[1:]
+    before[head], after[tail] = kinds, kinds
 
-    def before(v):
-        out = np.concatenate([[_U(0)], v[:-1]]) if count else v
-        return np.where(head, _U(7), out)
-
-    def after(v):
-        out = np.concatenate([v[1:], [_U(0)]]) if count else v
-        return np.where(tail, _U(7), out)
-
-    word = found.hash
-    near_digits = before(digits) * _U(256) + digits * _U(16) + after(digits)
-    slots = [
-        word, before(word), after(word), shape, before(shape), after(shape),
-        near_digits, digits * _U(16) + length, shape ^ (busy + _U(1)) * _U(0x9E3779B97F4A7C15),
-        words.mix(shape, 5) ^ digits * _U(32) ^ length,
-    ]
-    return Tokens(found, np.stack([words.mix(v, 50 + i) for i, v in enumerate(slots)], axis=1) if count else np.zeros((0, len(slots)), _U))
+    marks = _sums((code > 3) & (code != 44) & (code != 46), at[:-1], at[1:])
+    busy = np.minimum(16 * marks // np.maximum(np.diff(at), 1), 3)[found.doc]
+    each = np.repeat(shape, 4) ^ (np.tile(np.arange(4, dtype=_U), kinds) + _U(1)) * _U(0x9E3779B97F4A7C15)
+    count_of = np.append(digits, _U(15))
+    wide, wide_at = np.unique(
+        count_of[before] * _U(256) + count_of[kind] * _U(16) + count_of[after], return_inverse=True
+    )
+    return Tokens(
+        found, kind, before, after,
+        slots(50, word, shape, form, core, digits * _U(16) + length, words.mix(shape, 5) ^ digits * _U(32) ^ length, mask),
+        slots(60, word, shape, form, core), slots(70, word, shape, form, core),
+        words.mix(wide, 80)[:, None], wide_at, words.mix(each, 90)[:, None], kind * 4 + busy,
+    )
 
 
 class Model(NamedTuple):
-    """Labels (``O`` first), known feature keys, their weights, and transitions."""
+    """Labels (``O`` first), known feature keys, their weights, and transitions.
+
+    ``longest`` is the most tokens that a labelled span of a kind has: a longer chain
+    is outside of what was learned, and is no span.
+    """
 
     labels: tuple[str, ...]
     keys: np.ndarray
     weights: np.ndarray
     moves: np.ndarray
+    longest: dict[str, int]
 
 
 class Lookup:
@@ -139,18 +201,21 @@ def train(examples: Sequence[str], kinds: Sequence[str]) -> Model:
     read = tokens(data, at)
     found = read.found
     gold = np.zeros(len(found.start), np.int64)
+    reach = dict.fromkeys(kinds, 0)
     for i, (_, spans) in enumerate(texts):
         for lo, hi, kind in spans:
             first, last = found.first[i], found.first[i + 1]
             inside = [t for t in range(first, last) if found.start[t] < at[i] + hi and found.end[t] > at[i] + lo]
+            reach[kind] = max(reach[kind], len(inside))
             for n, t in enumerate(inside):
                 gold[t] = labels.index(f"{'I' if n else 'B'}-{kind}")
-    seen, n = np.unique(read.keys, return_counts=True)
+    every = read.keys
+    seen, n = np.unique(every, return_counts=True)
     seen = seen[n >= 2]
     slot = seen >> _U(64 - _TABLE_BITS)
     seen = seen[np.concatenate([[True], slot[1:] != slot[:-1]])]  # one key per place of the table
     keys = np.concatenate([np.zeros(1, _U), seen])
-    rows = Lookup(keys)(read.keys)
+    rows = Lookup(keys)(every)
     size = np.diff(found.first)
     longest = int(size.max())
     place = found.first[:-1, None] + np.arange(longest)
@@ -158,7 +223,7 @@ def train(examples: Sequence[str], kinds: Sequence[str]) -> Model:
     x = np.where(real[:, :, None], rows[np.minimum(place, len(rows) - 1)], 0)
     y = np.where(real, gold[np.minimum(place, len(gold) - 1)], 0)
     weights, moves = _fit(x, y, real, len(keys), len(labels))
-    return Model(labels, keys, weights.astype(np.float32), moves.astype(np.float32))
+    return Model(labels, keys, weights.astype(np.float32), moves.astype(np.float32), reach)
 
 
 def _sum_exp(v: np.ndarray, axis: int) -> np.ndarray:
@@ -218,8 +283,8 @@ def decode(model: Model, lookup: Lookup, read: Tokens) -> np.ndarray:
     if not count:
         return best
     emit = np.zeros((count, len(model.labels)), np.float32)
-    for slot in range(read.keys.shape[1]):
-        emit += model.weights[lookup(np.ascontiguousarray(read.keys[:, slot]))]
+    for keys, place in read.groups():
+        emit += model.weights[lookup(keys)].sum(axis=1)[place]
     slack = 2 * (model.moves.max() - model.moves.min())
     open_ = np.flatnonzero(emit[:, 0] - emit[:, 1:].max(axis=1) <= slack)
     if not len(open_):
@@ -271,6 +336,9 @@ def spans(model: Model, lookup: Lookup, data: np.ndarray, at: np.ndarray) -> lis
             and label[hit[j]] % 2 == 0 and kind_of[label[hit[j]]] == kind
         ):
             j += 1
+        size, i = j - i, j
+        if size > model.longest[kind]:
+            continue
         lo, hi = int(read.found.start[t]), int(read.found.end[hit[j - 1]])
         while lo < hi and _TRIM[data[lo]] and data[lo] != 40:
             lo += 1
@@ -278,5 +346,4 @@ def spans(model: Model, lookup: Lookup, data: np.ndarray, at: np.ndarray) -> lis
             hi -= 1
         if lo < hi:
             out.append((int(doc), lo, hi, kind))
-        i = j
     return out

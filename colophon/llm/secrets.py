@@ -54,7 +54,7 @@ def patterns(data: np.ndarray, at: np.ndarray, raw: bytes) -> list[tuple[int, in
     return out
 
 
-def examples(rows: int = 1000, seed: int = 11) -> list[str]:
+def examples(rows: int = 3000, seed: int = 11) -> list[str]:
     """The labelled table: short lines of prose and settings with their secrets marked up."""
     rng = np.random.default_rng(seed)
     pick = lambda *options: options[rng.integers(len(options))]
@@ -67,14 +67,15 @@ def examples(rows: int = 1000, seed: int = 11) -> list[str]:
 
     def filler() -> str:
         w = word()
-        return pick(w, w, w, w, w.capitalize(), f"{w},", f"{w}.", f"{w.capitalize()}.", w.upper() + "!!", w.upper() + ",!!", f"{w}***", f"{w}.&&&", f"{w}###", f"{w}&&&", f"{w}%%%", "|")
+        noise = pick(*"!#$%&*+,./:;<=>?@^_|~-") * int(rng.integers(1, 6))
+        return pick(w, w, w, w, w.capitalize(), f"{w},", f"{w}.", f"{w.capitalize()}.", w.upper(), f"{w}{noise}", f"{w.upper()}{noise}", noise)
 
     def secret() -> str:
         long = some(mixed, int(rng.integers(20, 44)))
         return pick(
             f"token = {tag(some('0123456789abcdef', 40))}", tag(f"password={some('0123456789abcdef', 18)}"),
             tag(f"AKIA{some('ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789', 16)}"), f"Bearer {tag(long)}", f"Authorization: Bearer {tag(long)}",
-            tag(f"sk_live_{some(mixed, 24)}"), tag(f"ghp_{some(mixed, 36)}"), tag(f"xoxb-{number(12)}-{some(mixed, 24)}"),
+            tag(f"sk_live_{some(mixed, 24)}"), tag(f"{word()}{pick(*"-_.")}{some(mixed, int(rng.integers(18, 40)))}"), tag(f"{long}.{some(mixed, 24)}"), tag(f"ghp_{some(mixed, 36)}"), tag(f"xoxb-{number(12)}-{some(mixed, 24)}"),
             f"secret key {tag(some(mixed + '+/', 40))}", f"private key: {tag(long)}", f"pwd: {tag(some(mixed + '!#$', 14))}",
             f"access key {tag(some(mixed + '+/', 40))}", f"credentials {tag(long)}",
         )
@@ -94,7 +95,7 @@ def examples(rows: int = 1000, seed: int = 11) -> list[str]:
         for _ in range(i % 4 % 3):
             parts.insert(int(rng.integers(len(parts) + 1)), secret())
         for _ in range(rng.integers(0, 4)):
-            parts.insert(int(rng.integers(len(parts) + 1)), public() + pick("", "", "", "###", "***", "&&&", "%%%", "$$$", "!!", ",", "."))
+            parts.insert(int(rng.integers(len(parts) + 1)), public() + pick("", "", "", pick(*"!#$%&*") * int(rng.integers(1, 4)), ",", "."))
         out.append(" ".join(parts))
     return out
 

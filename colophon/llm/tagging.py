@@ -54,26 +54,33 @@ def _joined(spans, kinds: Sequence[str]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in order)
 
 
-def found(match: Matcher, model: crf.Model, lookup: crf.Lookup, data: np.ndarray, at: np.ndarray):
-    """Per text with any span ``(pattern spans, added spans)``, in bytes of the slice."""
+def anything(kind: str, span: bytes) -> bool:
+    return True
+
+
+def found(match: Matcher, model: crf.Model, lookup: crf.Lookup, data: np.ndarray, at: np.ndarray, check=anything):
+    """Per text with any span ``(pattern spans, added spans)``, in bytes of the slice.
+
+    ``check`` is the exact test that a tagger's span of a kind must pass.
+    """
     raw = data.tobytes()
     base: dict[int, list] = {}
     for doc, lo, hi, kind in match(data, at, raw):
         base.setdefault(int(doc), []).append((int(lo), int(hi), kind))
     added: dict[int, list] = {}
     for doc, lo, hi, kind in crf.spans(model, lookup, data, at):
-        if all(hi <= a or lo >= b for a, b, _ in base.get(doc, ())):
+        if check(kind, raw[lo:hi]) and all(hi <= a or lo >= b for a, b, _ in base.get(doc, ())):
             added.setdefault(doc, []).append((lo, hi, kind))
     return base, added
 
 
-def digest(match: Matcher, model: crf.Model, base_kinds: Sequence[str], kinds: Sequence[str]):
+def digest(match: Matcher, model: crf.Model, base_kinds: Sequence[str], kinds: Sequence[str], check=anything):
     """Arrow batches of ``doc_id, text`` to counts, digest and spans per row."""
 
     def of(batches):
         lookup = crf.Lookup(model.keys)
         for rows, data, at in words.slices(batches):
-            base, added = found(match, model, lookup, data, at)
+            base, added = found(match, model, lookup, data, at, check)
             n = rows.num_rows
             counts = np.zeros((len(base_kinds), n), np.int64)
             sha, listed = [EMPTY_SHA] * n, [""] * n

@@ -10,7 +10,7 @@ import corpus_pipeline
 from colophon.llm import (
     debruijn, decontaminate, fingerprint, katz, near, oracles, pack, pii, registry, rotate, secrets, sketch, toxicity, words,
 )
-from tests.llm import brute
+from tests.llm import brute, heldout
 from tests.llm.conftest import HARD, LONG, PASSAGE
 from workload.check import connection, spark_rows, sql_rows
 
@@ -195,6 +195,30 @@ def test_tagger_on_held_out_rows(module, kinds):
     assert right / gold_n > 0.9 and right / got_n > 0.9
 
 
+@pytest.mark.parametrize("module, kind, recall", [(pii, "phone", 0.9), (pii, "card", 0.9), (pii, "email", 0.7), (secrets, "secret", 0.85)])
+def test_tagger_on_forms_from_elsewhere(spark, small, module, kind, recall):
+    """Forms that no labelled row has, inserted into documents: most are found, nothing else is."""
+    rng = np.random.default_rng(3)
+    texts = [t[:4000] for _, t in small[1] if t]
+    made = list(heldout.inserted(rng, texts, getattr(heldout, kind), 200))
+    rows = [(i, t) for i, (t, _, _) in enumerate(made)]
+    model = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    plain = {r.doc_id: r.spans for r in module.spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = other = 0
+    for r in module.spans(model).collect():
+        _, lo, hi = made[r.doc_id]
+        spans = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s)]
+        found += any(k == kind and a <= lo and b >= hi and b - a <= 1.3 * (hi - lo) for k, a, b in spans)
+        other += len([s for s in spans if s[1] >= hi or s[2] <= lo]) - len([s for s in plain[r.doc_id % len(texts)].split(",") if s])
+    assert found / len(made) >= recall and abs(other) <= 0.05 * len(made)
+
+
+def test_chain_of_fillers_is_no_personal_data(spark, hard):
+    text = "De " + "De, " * 200 + "end " + "AT!! THIS!! " * 40
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert pii.spans(docs).first().spans == "" and pii.masked(docs).first().text == text
+
+
 def test_decoding_equals_plain_viterbi():
     from colophon.llm import crf, tagging
 
