@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colophon.llm.tables import documents_of, table
-from colophon.llm.words import _BYTE_POWERS, slices
+from colophon.llm.words import _BYTE_POWERS, distinct, slices
 
 LENGTHS = (4, 5)
 BITS = 20
@@ -67,7 +67,7 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     code[np.arange(len(data)) + 1 + 2 * np.repeat(np.arange(len(at) - 1), np.diff(at))] = data
     keys = [_keys(code, first, lo) for lo in range(0, len(code), BLOCK)]
     # at most 4096 texts a slice: 12 bits of text and BITS of column
-    key = np.unique(np.concatenate(keys)) if len(keys) > 1 else keys[0] if keys else np.zeros(0, np.uint32)
+    key = distinct(np.concatenate(keys)) if len(keys) > 1 else keys[0] if keys else np.zeros(0, np.uint32)
     return (key >> np.uint32(BITS)).astype(np.int32), (key & np.uint32((1 << BITS) - 1)).astype(np.int32)
 
 
@@ -78,7 +78,8 @@ def _keys(code: np.ndarray, first: np.ndarray, lo: int) -> np.ndarray:
     up, down = _BYTE_POWERS(len(part) + 1)
     total = np.zeros(len(part) + 1, np.uint64)
     np.cumsum(part * up[:-1], out=total[1:])
-    owner = np.searchsorted(first, np.arange(lo, lo + len(part)), side="right") - 1
+    cuts = np.clip(first, lo, lo + len(part))
+    owner = np.repeat(np.arange(len(first) - 1, dtype=np.uint32), np.diff(cuts))
     keys = []
     for n in LENGTHS:
         count = min(hi - lo, len(part) - n + 1)
@@ -89,8 +90,9 @@ def _keys(code: np.ndarray, first: np.ndarray, lo: int) -> np.ndarray:
         hashed *= np.uint64(0xD6E8FEB86659FD93 + 2 * n)
         column = (hashed >> np.uint64(64 - BITS)).astype(np.uint32)
         one = owner[:count] == owner[n - 1 : n - 1 + count]
-        keys.append((owner[:count][one].astype(np.uint32) << np.uint32(BITS)) | column[one])
-    return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint32)
+        keys.append((owner[:count][one] << np.uint32(BITS)) | column[one])
+    return distinct(np.concatenate(keys)) if keys else np.zeros(0, np.uint32)
+
 
 
 class Rows(NamedTuple):

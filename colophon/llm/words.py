@@ -80,6 +80,12 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted, each once: a plain sort is many times faster than ``np.unique`` of numpy 2.3."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts, and ``len + 1`` offsets into them."""
     if texts.null_count:
