@@ -176,7 +176,7 @@ class Index:
         few = np.flatnonzero(width <= _FEW)
         state = np.repeat(few, width[few])
         nth = np.arange(len(state)) - np.repeat(np.cumsum(width[few]) - width[few], width[few])
-        pair = np.unique(state * 256 + self.before[lo[state] + nth])
+        pair = words.distinct(state * 256 + self.before[lo[state] + nth])
         pair = pair[pair % 256 != 0]
         many = np.flatnonzero(width > _FEW)
         state = np.concatenate([pair // 256, np.repeat(many, len(self.letters))])
@@ -218,8 +218,9 @@ def near(index: Index, queries: list[bytes], exact: np.ndarray) -> tuple[np.ndar
         of, place, lo, hi = q[same], t[same] + 1, nlo[same], nhi[same]
     if not found:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    pairs = np.concatenate(found)
+    one = words.distinct(pairs[:, 0] * len(index.words) + pairs[:, 1])
+    return one // len(index.words), one % len(index.words)
 
 
 def _ended(index: Index, letters, size, q, t, lo, hi) -> np.ndarray:
@@ -350,7 +351,7 @@ def near_words(vocab: DataFrame) -> DataFrame:
             e = known.get((s, b))
             bounds[s][0].append(e.lo if e else last)
             bounds[s][1].append(last := e.hi if e else last)
-    asked = written(
+    asked, n = counted(
         blocks.mapInArrow(_router(bounds), "scheme int, block long, key string, n long"), "variant-queries"
     )
     shares = asked.groupBy("scheme", "block").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("shares"))
@@ -362,7 +363,8 @@ def near_words(vocab: DataFrame) -> DataFrame:
         .unionByName(asked.join(shares, on).select(*on, share.alias("share"), F.lit(1).alias("asks"), "key", "n"))
     )
     group = [*on, "share"]
-    found = dealt.repartition(*group).sortWithinPartitions(*group, "asks").mapInArrow(
+    tasks = max(sum(number) + n // QUERIES, 1)  # about one a share: its work is far above its bytes
+    found = dealt.repartition(tasks, *group).sortWithinPartitions(*group, "asks").mapInArrow(
         _search, "word string, n_near long, best_n long, best string"
     )
     best = F.min(F.struct((-F.col("best_n")).alias("less"), F.col("best").alias("best")))
