@@ -13,13 +13,26 @@ from colophon.operators.incremental import BROADCAST_BYTES
 from colophon.operators.outcomes import books_of
 from colophon.plans.scan import Provider, scan
 from colophon.schemas import BOOK
-from colophon.sources.shared import materialize
+from colophon.sources.shared import materialize, scratch
+from colophon.streaming.paths import FOLDER, bucket_of, filters_of, places_of
+
+
+_OUTPUT = T.StructType([*BOOK, T.StructField("batch", T.LongType())])
 
 
 def read_output(spark: SparkSession, path: str) -> DataFrame:
     """Books of all finished batches, with the number of their ``batch``."""
-    schema = T.StructType([*BOOK, T.StructField("batch", T.LongType())])
-    return spark.read.schema(schema).option("basePath", path).parquet(path)
+    return spark.read.schema(_OUTPUT).option("basePath", path).parquet(path).select(*_OUTPUT.fieldNames())
+
+
+def earlier_books(paths: DataFrame, output: str, batch_id: int) -> DataFrame:
+    """Books of ``paths`` in batches before ``batch_id``: only folders that may hold one are read."""
+    spark = paths.sparkSession
+    places = places_of(paths, output, batch_id)
+    if not places:
+        return spark.createDataFrame([], _OUTPUT)
+    held = spark.read.schema(_OUTPUT).option("basePath", output).parquet(*places).select(*_OUTPUT.fieldNames())
+    return held.join(paths, "filepath", "left_semi")
 
 
 def identify_stream(
@@ -33,7 +46,9 @@ def identify_stream(
 ) -> StreamingQuery:
     """Write one book or error per new file of the stream ``texts``.
 
-    The output is the state: a path that an earlier batch wrote is skipped. A
+    The output is the state: a path that an earlier batch wrote is skipped. A batch
+    reads the filters of its paths' buckets and the folders that may hold one of them
+    (``paths``), not all of the output; its intermediate tables go when it is written. A
     repeated batch writes its own folder anew and looks only at the folders of
     batches before it, so a restart neither loses nor doubles a file. Every
     batch asks the providers' tables or functions anew, for its own ISBNs only.
@@ -43,24 +58,28 @@ def identify_stream(
     spark = texts.sparkSession
 
     def process(batch: DataFrame, batch_id: int) -> None:
-        done = None if batch_id == 0 else earlier_books(batch, batch_id)
-        result = scan(batch, providers, cache=done, **options)
-        counts = Observation("outcomes")
-        books = books_of(result.observed(counts).outcomes)
-        books.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        with scratch(spark):
+            done = None if batch_id == 0 else known_books(batch, batch_id)
+            result = scan(batch, providers, cache=done, **options)
+            counts = Observation("outcomes")
+            books = books_of(result.observed(counts).outcomes).withColumn("bucket", bucket_of(F.col("filepath")))
+            place = f"{path}/batch={batch_id}"
+            books.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(place)
+            seen = counts.get
+            paths = spark.read.schema("filepath string").parquet(place)
+            filters_of(paths).write.mode("overwrite").parquet(f"{path}/{FOLDER}/batch={batch_id}")
         if on_batch is not None:
-            on_batch(batch_id, counts.get)
+            on_batch(batch_id, seen)
 
-    def earlier_books(batch: DataFrame, batch_id: int) -> DataFrame:
-        # The batch is small and the output large: its paths are sent to the
-        # output, which stays where it is.
+    def known_books(batch: DataFrame, batch_id: int) -> DataFrame:
+        # The batch is small and the output large: its paths are sent to the folders
+        # that may hold one of them.
         paths, size = materialize(
             batch.select("filepath").distinct(), "batch-paths", bytes=F.sum(F.octet_length("filepath"))
         )
         if (size["bytes"] or 0) <= BROADCAST_BYTES:
             paths = F.broadcast(paths)
-        output = read_output(spark, path).where(F.col("batch") < batch_id)
-        return output.join(paths, "filepath", "left_semi")
+        return earlier_books(paths, path, batch_id)
 
     writer = texts.writeStream.foreachBatch(process).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
