@@ -19,7 +19,7 @@ from colophon.sources.books import read_books, read_responses, write_books
 from colophon.sources.files import extract_files
 from colophon.sources.shared import materialize
 
-LAYOUTS = ["lines", "parquet", "object"]
+LAYOUTS = ["lines", "parquet", "buckets", "object"]
 
 
 def parse(argv: list[str] | None = None) -> argparse.Namespace:
@@ -58,9 +58,10 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
 def run(spark: SparkSession, options: argparse.Namespace) -> None:
     cache = None
     if options.cache:
-        # written once: the listing, the scan and the output all read it
-        books = read_books(spark, options.cache, options.cache_layout, options.whole)
-        cache, _ = materialize(emit_once(books), "cache")
+        cache = emit_once(read_books(spark, options.cache, options.cache_layout, options.whole))
+        if options.cache_layout != "buckets":
+            # written once: the listing, the scan and the output all read it
+            cache, _ = materialize(cache, "cache")
     if options.scan:
         kept = drop_failed(cache) if options.retry else cache
         texts = extract_files(spark, options.scan, cache=kept)

@@ -31,9 +31,9 @@ def skip_processed_texts(texts: DataFrame, cache: DataFrame) -> tuple[DataFrame,
     they are broadcast to the scan of the texts. Otherwise the texts come back
     as they are, together with the new paths, to be joined after extraction.
     """
-    paths = texts.select("filepath").distinct()
+    # a bucketed cache stays where it is, and the distinct paths too: they are of one key
     fresh, size = materialize(
-        skip_processed(paths, cache), "fresh-paths", bytes=F.sum(F.octet_length("filepath"))
+        skip_processed(texts.select("filepath"), cache).distinct(), "fresh-paths", bytes=F.sum(F.octet_length("filepath"))
     )
     if (size["bytes"] or 0) <= BROADCAST_BYTES:
         return texts.join(F.broadcast(fresh), "filepath", "left_semi"), None

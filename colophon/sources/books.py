@@ -4,11 +4,15 @@ Layouts of books:
 
 * ``lines``: one JSON record per line, the default;
 * ``parquet``: for caches that are read often;
+* ``buckets``: Parquet, hashed and sorted by path: a cache that is joined without a
+  shuffle of its own, run after run;
 * ``object``: the reference's single JSON object ``{filepath: book}``.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +23,9 @@ from colophon.functions.records import book_json, object_key, written_book
 from colophon.schemas import BOOK, RESPONSE
 from colophon.sources.shared import materialize
 
+BUCKETS = 64
+_COUNT = "_buckets"
+
 # End of one record and begin of the next in an object without line breaks. A
 # quote inside a string is escaped, so within a record this can only close a
 # string that ends in the same signs: we write its comma as an escape, and a
@@ -45,12 +52,45 @@ def write_books(books: DataFrame, path: str, layout: str = "lines", key_mode: st
         books.select(written_book().alias("b")).select("b.*").write.mode("errorifexists").json(path)
     elif layout == "parquet":
         books.select(*BOOK.fieldNames()).write.mode("errorifexists").parquet(path)
+    elif layout == "buckets":
+        _write_buckets(books, path)
     elif layout == "object":
         _write_object(books, path, key_mode)
     else:
         raise ValueError(f"unknown layout: {layout}")
 
 
+def _bucketed(path: str) -> str:
+    return f"books_{hashlib.sha256(path.encode()).hexdigest()[:16]}_{uuid.uuid4().hex[:8]}"
+
+
+def _write_buckets(books: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """One sorted file per bucket of paths; the number of buckets lies beside them."""
+    spark, name = books.sparkSession, _bucketed(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        raise ValueError(f"{path} exists")
+    rows = books.select(*BOOK.fieldNames()).repartition(buckets, "filepath")
+    try:
+        rows.write.format("parquet").bucketBy(buckets, "filepath").sortBy("filepath").option("path", path).saveAsTable(name)
+    finally:
+        spark.sql(f"drop table if exists {name}")  # the files stay
+    spark.createDataFrame([(str(buckets),)], "value string").coalesce(1).write.text(f"{path}/{_COUNT}")
+
+
+def _read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    name = _bucketed(path)
+    buckets = int(spark.read.text(f"{path}/{_COUNT}").first().value)
+    place = path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(
+        f"create table {name} ({BOOK.toDDL()}) using parquet "
+        f"clustered by (filepath) sorted by (filepath) into {buckets} buckets location '{place}'"
+    )
+    books = spark.table(name)  # resolved here: it keeps its files and buckets
+    spark.sql(f"drop table {name}")
+    return books
+
+
 def _write_object(books: DataFrame, path: str, key_mode: str) -> None:
     spark = books.sparkSession
     # a number tells repeated paths apart: one record alone opens the document
@@ -88,6 +128,8 @@ def read_books(spark: SparkSession, path: str, layout: str = "lines", whole: boo
         return spark.read.schema(BOOK).option("mode", "FAILFAST").json(path)
     if layout == "parquet":
         return spark.read.schema(BOOK).parquet(path)
+    if layout == "buckets":
+        return _read_buckets(spark, path)
     if layout != "object":
         raise ValueError(f"unknown layout: {layout}")
     if whole:

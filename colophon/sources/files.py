@@ -8,6 +8,7 @@ by value: executors need not have this package.
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable
 from functools import reduce
@@ -22,6 +23,9 @@ from colophon.sources.shared import materialize
 
 # Bytes of files that one task opens, about.
 TASK_BYTES = 1 << 30
+# A value of a table holds less than 2 GB: larger files fail, the run goes on.
+FILE_BYTES = (1 << 31) - (1 << 20)
+UNREADABLE = "the file can't be read, or has more than 2 GB"
 
 Extractor = Callable[[DataFrame], DataFrame]
 
@@ -66,29 +70,51 @@ def _lister():
     return children
 
 
-def _opener():
+def _opener(most: int):
     store_of = _store()
 
+    def content(path):
+        store, place, _ = store_of(path)
+        try:
+            if store.get_file_info(place).size > most:
+                return None
+            with store.open_input_stream(place) as f:
+                return f.read()
+        except OSError:
+            return None
+
     def contents(batches):
         for batch in batches:
             for path in batch.column("filepath").to_pylist():
-                store, place, _ = store_of(path)
-                with store.open_input_stream(place) as f:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([path]), pa.array([f.read()], pa.binary())], ["filepath", "content"]
-                    )
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path]), pa.array([content(path)], pa.binary())], ["filepath", "content"]
+                )
 
     return contents
 
 
+def absolute_root(root: str) -> str:
+    """A root as an absolute path, or the URI of another store. It must exist."""
+    from pyarrow import fs
+
+    path = re.sub(r"^file:(?://)?(?=/)", "", root)
+    if not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
+        path = os.path.abspath(path)
+    store, place, _ = _store()(path)
+    if store.get_file_info(place).type == fs.FileType.NotFound:
+        raise FileNotFoundError(f"nothing to scan at {root}")
+    return path
+
+
 def scan_files(spark: SparkSession, root: str | list[str]) -> DataFrame:
-    """``(filepath, length)`` of the accepted regular files below ``root``, each once.
+    """``(filepath, length)`` of the accepted regular files below ``root``, each once.
 
-    Hidden names are listed too, links are not followed. One round of tasks per
-    level of folders; contents are not opened.
+    Paths are absolute, whatever the root is; a root that does not exist is refused
+    before any task runs. Hidden names are listed too, links are not followed. One
+    round of tasks per level of folders; contents are not opened.
     """
     roots = [root] if isinstance(root, str) else root
-    folders = [(re.sub(r"^file:(?://)?(?=/)", "", r),) for r in roots]
+    folders = [(absolute_root(r),) for r in roots]
     level, found = spark.createDataFrame(folders, "folder string"), []
     number = int(spark.conf.get("spark.sql.shuffle.partitions"))
     while True:
@@ -107,14 +133,15 @@ def read_contents(spark: SparkSession, root: str | list[str], cache: DataFrame |
     """``(filepath, content)`` of the accepted files below ``root``; known ones stay closed.
 
     With a cache the listed paths are compared with its paths first, and only
-    files without a book are opened, however many they are.
+    files without a book are opened, however many they are. A file that can't be
+    opened, or of more than ``FILE_BYTES``, has no content.
     """
     files = scan_files(spark, root)
     if cache is not None:
         files = skip_processed(files, cache)
     fresh, seen = materialize(files, "fresh-files", bytes=F.sum("length"))
     number = max((seen["bytes"] or 0) // TASK_BYTES + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return fresh.select("filepath").repartition(number).mapInArrow(_opener(), "filepath string, content binary")
+    return fresh.select("filepath").repartition(number).mapInArrow(_opener(FILE_BYTES), "filepath string, content binary")
 
 
 def native_text(contents: DataFrame) -> DataFrame:
@@ -129,7 +156,8 @@ def native_text(contents: DataFrame) -> DataFrame:
     )
     known = ext.isin(tx.PLAIN_EXTENSIONS + tx.HTML_EXTENSIONS)
     return contents.select(
-        "filepath", text.alias("text"), F.when(~known, "no codec for this type").alias("error")
+        "filepath", text.alias("text"),
+        F.when(~known, "no codec for this type").when(F.col("content").isNull(), UNREADABLE).alias("error"),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from colophon import Provider, scan
 from colophon.functions.records import book_json
 from colophon.operators import identify
+from colophon.operators.incremental import drop_failed, emit_once, skip_processed
 from colophon.sources import books as io
 from colophon.sources import files as src
 from colophon.sources.shared import materialize, shared_dir
@@ -77,6 +78,29 @@ def test_hidden_names_are_in_and_links_are_out(spark, library, tmp_path):
     assert texts[f"{library}/_hid/.e.txt"] == f"ISBN {A}"
 
 
+def test_roots(spark, library, tmp_path, monkeypatch):
+    """A relative root gives absolute paths; a missing one is refused at once."""
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "shelf" / "in").mkdir(parents=True)
+    (tmp_path / "shelf" / "in" / "a.txt").write_text("x")
+    want = [str(tmp_path / "shelf" / "in" / "a.txt")]
+    for root in ("shelf", "./shelf/in", str(tmp_path / "shelf"), f"file://{tmp_path}/shelf", "shelf/in/a.txt"):
+        assert [r.filepath for r in src.scan_files(spark, root).collect()] == want
+    for root in ("nowhere", f"file://{tmp_path}/nowhere"):
+        with pytest.raises(FileNotFoundError, match="nowhere"):
+            src.scan_files(spark, root)
+
+
+def test_files_that_cannot_be_read_fail_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(src, "FILE_BYTES", 10)
+    (tmp_path / "a.txt").write_text("short")
+    (tmp_path / "b.txt").write_text("much too long")
+    (read,) = src.extract_files(spark, str(tmp_path))
+    assert {r.filepath[-5:]: (r.text, r.error) for r in read.collect()} == {
+        "a.txt": ("short", None), "b.txt": (None, src.UNREADABLE)
+    }
+
+
 def test_names_with_wildcards(spark, library):
     (library / "h[1]{x}*.txt").write_text("x")
     cache = books(spark, *[{"filepath": f"{library}/{n}"} for n in ("a.txt", "g.rst", "deep/b c.html", "deep/er/d.pdf")])
@@ -144,6 +168,33 @@ def test_round_trip(spark, shelf, tmp_path, layout):
         io.write_books(shelf, path, layout=layout)
 
 
+def test_bucketed_cache_is_not_shuffled(spark, shelf, tmp_path):
+    """Its side of J1, of a scan's skipping and of a retry has no exchange, whatever the partitions are."""
+    path = str(tmp_path / "shelf")
+    io.write_books(shelf, path, "buckets")
+    with pytest.raises(ValueError, match="exists"):
+        io.write_books(shelf, path, "buckets")
+    cache = io.read_books(spark, path, "buckets")
+    assert rows_of(cache) == rows_of(shelf)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("books_")]
+    new = spark.range(1000).selectExpr("concat('/n', id, '.txt') filepath", "'x' text").unionByName(
+        shelf.selectExpr("filepath", "'y' text"))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        for partitions in (4, 200):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            for books in (cache, drop_failed(cache), emit_once(cache)):
+                joined = skip_processed(new.select("filepath"), books).distinct()
+                plan = plan_of(joined).split("(1)")[0]
+                assert plan.count("Exchange") == 1 and plan.count("Sort ") <= 1, plan
+                held = {r.filepath for r in books.select("filepath").collect()}
+                assert {r.filepath for r in joined.collect()} == {r.filepath for r in new.select("filepath").collect()} - held
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_object_parts_are_one_document(spark, shelf, tmp_path):
     path = tmp_path / "out"
     io.write_books(shelf.repartition(4), str(path), layout="object")

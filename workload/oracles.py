@@ -335,7 +335,8 @@ ORACLES = {
                coalesce(',"error":"' || error || '"', '') || '}}' as json
         from books""",
     "file_scan": """
-        select page_id, '.txt' as ext, octet_length(encode(html))::bigint + 1 as n_bytes,
+        select page_id, case when page_id % 7 = 0 then '.kept/' else '' end || 'page_id=' || page_id as folder,
+               '.txt' as ext, octet_length(encode(html))::bigint + 1 as n_bytes,
                md5(html || chr(10)) as text_md5, null::varchar as error from pages""",
     "skip_processed": f"""
         with {_CORPUS}, {_CACHE}

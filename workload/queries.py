@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -398,14 +399,25 @@ def incremental_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def file_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Every page as a file of its own, listed and read."""
-    root = new_path(spark, "pages")
+    """Every page as a file of its own, listed and read.
+
+    Every seventh page lies in a hidden folder; a link beside leads there once more. The
+    root is given relative to the working folder, paths come back absolute.
+    """
+    root = new_path(spark, "pages").removeprefix("file://").removeprefix("file:")
     pages = wc.table(spark, sf, "pages").select("page_id", "html")
-    pages.repartition("page_id").write.partitionBy("page_id").text(root)
-    (read,) = files.extract_files(spark, root)
-    both = files.scan_files(spark, root).join(read, "filepath")
+    hidden = F.col("page_id") % 7 == 0
+    for place, rows in ((root, pages.where(~hidden)), (f"{root}/.kept", pages.where(hidden))):
+        rows.repartition("page_id").write.mode("append").partitionBy("page_id").text(place)
+    if root.startswith("/"):
+        os.symlink(f"{root}/.kept", f"{root}/linked")
+    given = os.path.relpath(root) if root.startswith("/") else root
+    (read,) = files.extract_files(spark, given)
+    both = files.scan_files(spark, given).join(read, "filepath")
+    below = F.replace(F.col("filepath"), F.lit(f"{root}/"), F.lit(""))
     return both.select(
         F.regexp_extract("filepath", "/page_id=([0-9]+)/", 1).cast("bigint").alias("page_id"),
+        F.regexp_extract(below, "^(.*)/[^/]*$", 1).alias("folder"),
         tx.extension(F.col("filepath")).alias("ext"),
         F.col("length").alias("n_bytes"),
         F.md5("text").alias("text_md5"),
