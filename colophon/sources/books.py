@@ -23,7 +23,6 @@ from colophon.functions.records import book_json, object_key, written_book
 from colophon.schemas import BOOK, RESPONSE
 from colophon.sources.shared import materialize
 
-BUCKETS = 64
 _COUNT = "_buckets"
 
 # End of one record and begin of the next in an object without line breaks. A
@@ -64,9 +63,10 @@ def _bucketed(path: str) -> str:
     return f"books_{hashlib.sha256(path.encode()).hexdigest()[:16]}_{uuid.uuid4().hex[:8]}"
 
 
-def _write_buckets(books: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """One sorted file per bucket of paths; the number of buckets lies beside them."""
+def _write_buckets(books: DataFrame, path: str) -> None:
+    """One sorted file per bucket of paths, as many as shuffle partitions; their number lies beside them."""
     spark, name = books.sparkSession, _bucketed(path)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         raise ValueError(f"{path} exists")

@@ -362,5 +362,5 @@ ORACLES["object_round_trip"] = (
 )
 
 # only these take short texts for failures; the others search every text
-_GATED = {"books_full", "books_compat", "books_cached", "books_retried", "outcomes_summary", "dry_run"}
+_GATED = {"books_full", "books_compat", "outcomes_summary", "dry_run"}
 ORACLES = {k: v.replace("GATE", str(FULL_TEXT if k in _GATED else 1)) for k, v in ORACLES.items()}

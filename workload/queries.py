@@ -316,6 +316,13 @@ def _gated_scan(spark: SparkSession, sf: str, **options):
     return _scan(spark, sf, min_bytes=wc.FULL_TEXT, **options)
 
 
+def _shelf(spark: SparkSession, sf: str) -> DataFrame:
+    """The earlier books, written as runs keep them: bucketed by path."""
+    path = new_path(spark, "shelf")
+    book_io.write_books(wc.cache(spark, sf), path, layout="buckets")
+    return book_io.read_books(spark, path, layout="buckets")
+
+
 def books_full(spark: SparkSession, sf: str) -> DataFrame:
     """One book or error per supported file."""
     return _flat(_gated_scan(spark, sf).books())
@@ -339,12 +346,12 @@ def books_catalogue(spark: SparkSession, sf: str) -> DataFrame:
 
 def books_cached(spark: SparkSession, sf: str) -> DataFrame:
     """A run that keeps all earlier books."""
-    return _flat(_gated_scan(spark, sf, cache=wc.cache(spark, sf)).books())
+    return _flat(_scan(spark, sf, cache=_shelf(spark, sf)).books())
 
 
 def books_retried(spark: SparkSession, sf: str) -> DataFrame:
     """A run that tries the earlier failures again."""
-    return _flat(_gated_scan(spark, sf, cache=wc.cache(spark, sf), retry=True).books())
+    return _flat(_scan(spark, sf, cache=_shelf(spark, sf), retry=True).books())
 
 
 def outcomes_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -478,7 +485,7 @@ def disabled_provider(spark: SparkSession, sf: str) -> DataFrame:
 def skip_processed(spark: SparkSession, sf: str) -> DataFrame:
     """Files without an earlier book."""
     files = identify.supported(wc.texts(spark, sf)).select("filepath")
-    return incremental.skip_processed(files, wc.cache(spark, sf))
+    return incremental.skip_processed(files, _shelf(spark, sf))
 
 
 def retry_set(spark: SparkSession, sf: str) -> DataFrame:
