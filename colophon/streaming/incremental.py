@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -62,9 +63,11 @@ def identify_stream(
             done = None if batch_id == 0 else known_books(batch, batch_id)
             result = scan(batch, providers, cache=done, **options)
             counts = Observation("outcomes")
-            books = books_of(result.observed(counts).outcomes).withColumn("bucket", bucket_of(F.col("filepath")))
+            # counted behind the shuffle: what is before an empty one leaves the plan, counts and all
+            dealt = replace(result, outcomes=result.outcomes.repartition(bucket_of(F.col("filepath"))))
+            books = books_of(dealt.observed(counts).outcomes).withColumn("bucket", bucket_of(F.col("filepath")))
             place = f"{path}/batch={batch_id}"
-            books.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(place)
+            books.write.partitionBy("bucket").mode("overwrite").parquet(place)
             seen = counts.get
             paths = spark.read.schema("filepath string").parquet(place)
             filters_of(paths).write.mode("overwrite").parquet(f"{path}/{FOLDER}/batch={batch_id}")
