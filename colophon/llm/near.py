@@ -1,7 +1,7 @@
 """MinHash near-dedup by fast similarity sketching, banding and exact checks.
 
 Words are maximal runs without ASCII white space, A-Z lower-cased. The set of a
-document has its distinct shingles of ``shingle`` words; with fewer words the
+document has its distinct shingles of ``shingle`` words (five unless given); with fewer words the
 whole sequence is the one shingle. Two documents are linked if
 ``100 * shared >= 80 * united``. Components are those of all links.
 
@@ -39,7 +39,7 @@ from colophon.llm import sketch, words
 from colophon.llm.components import components
 from colophon.llm.tables import counted, documents_of, sized, table, written
 
-SHINGLE = 4
+SHINGLE = 5
 SIZE, BANDED, WIDTH = 640, 160, 5
 AGREE = 0.73
 BLOCK, MEMBERS = 1 << 21, 4096

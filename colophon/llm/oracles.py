@@ -79,7 +79,8 @@ seen as (
     case when speaker = 'system' then 'system' when speaker = participant then 'assistant' else 'user' end chat_role
   from turns t join people p on t.conv_id is not distinct from p.conv_id),
 headed as (
-  select *, '<|im_start|>' || chat_role || case when chat_role = 'user' then ' name=' || speaker else '' end || chr(10) head
+  select *, '<|im_start|>' || chat_role || case when chat_role = 'user'
+    then ' name=' || translate(replace(speaker, '<|', '< |'), chr(10) || chr(13), '  ') else '' end || chr(10) head
   from seen),
 placed as (
   select *, row_number() over w - 1 as position,

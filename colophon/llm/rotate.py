@@ -13,8 +13,8 @@ the parts before, so that one huge conversation is spread like many small ones.
 
 Turns are ordered by ``turn``, then role, then text (nulls first). A null role is the
 speaker ``unknown``; a null text is empty; rows without ``conv_id`` are one
-conversation. Repeated rows are turns of their own. Marks inside a text are broken
-up (``<|`` becomes ``< |``). Conversations without participants and empty tables give
+conversation. Repeated rows are turns of their own. Marks inside a text or a rendered
+name are broken up (``<|`` becomes ``< |``), line breaks in a name become blanks. Conversations without participants and empty tables give
 no rows. Other columns are ignored.
 """
 
@@ -51,7 +51,9 @@ def views(conversations: DataFrame) -> DataFrame:
     )
     narrated, own = F.col("speaker").isin(*NARRATORS), F.col("speaker") == F.col("participant")
     chat_role = F.when(narrated, "system").when(own, "assistant").otherwise("user")
-    named = F.when(chat_role == "user", F.concat(F.lit(" name="), F.col("speaker"))).otherwise("")
+    # a name can't end its own turn or open another
+    name = F.translate(F.replace(F.col("speaker"), F.lit("<|"), F.lit("< |")), "\n\r", "  ")
+    named = F.when(chat_role == "user", F.concat(F.lit(" name="), name)).otherwise("")
     seen = (
         spoken.join(people, F.col("conv_id").eqNullSafe(F.col("of")))
         .select(

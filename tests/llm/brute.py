@@ -61,14 +61,14 @@ def contamination(rows, items, window=10):
     return out
 
 
-def shingles(text):
+def shingles(text, size):
     w = words(lower(text))
-    n = min(4, len(w))
+    n = min(size, len(w))
     return {tuple(w[s : s + n]) for s in range(len(w) - n + 1)} if n else set()
 
 
-def near(rows):
-    sets = [shingles(t) for _, t in rows]
+def near(rows, size):
+    sets = [shingles(t, size) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(x):
