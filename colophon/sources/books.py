@@ -15,30 +15,18 @@ import hashlib
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from colophon.functions.records import book_json, object_key, written_book
 from colophon.schemas import BOOK, RESPONSE
+from colophon.sources.json_object import object_entries
 from colophon.sources.shared import materialize
 
 _COUNT = "_buckets"
 
-# End of one record and begin of the next in an object without line breaks. A
-# quote inside a string is escaped, so within a record this can only close a
-# string that ends in the same signs: we write its comma as an escape, and a
-# file of others with such a string is refused, not misread.
-_RECORD_BREAK = '},"'
-_LIKE_A_BREAK = r'(\}\s*),(\s*")'
-
-
-def _plain(json: Column) -> Column:
-    return F.regexp_replace(json, _LIKE_A_BREAK, r"$1\\u002c$2")
-
-
-# The book behind its (possibly beheaded) key.
-_RECORD = r'(?s)^\s*(?:[{,]\s*")?[^"\\]*+(?:\\.[^"\\]*+)*+":\s*(\{.*)\z'
+# An entry of an object: its key, then the book.
+_ENTRY = r'(?s)^\s*"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*:\s*(\{.*\})\s*\z'
 
 
 def write_books(books: DataFrame, path: str, layout: str = "lines", key_mode: str = "escaped") -> None:
@@ -98,9 +86,7 @@ def _write_object(books: DataFrame, path: str, key_mode: str) -> None:
     books, _ = materialize(numbered, "books")
     # Ends of the document sort around the records. Each value goes without its
     # last brace: the text writer adds it as the "line" end.
-    entry = F.concat(
-        _plain(object_key(F.col("filepath"), key_mode)), F.lit(": "), F.rtrim(_plain(book_json()), F.lit("}"))
-    )
+    entry = F.concat(object_key(F.col("filepath"), key_mode), F.lit(": "), F.rtrim(book_json(), F.lit("}")))
     first = books.agg(F.min(F.struct("filepath", "n")).alias("r")).first().r
     opens = F.lit(False) if first is None else F.col("n") == first.n
     opening = F.when(opens, "{").otherwise(",")
@@ -116,13 +102,13 @@ def _write_object(books: DataFrame, path: str, key_mode: str) -> None:
     ).text(path)
 
 
-def read_books(spark: SparkSession, path: str, layout: str = "lines", whole: bool = False) -> DataFrame:
+def read_books(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
     """Books of an earlier run.
 
-    An ``object`` file is split at its records. One that was reformatted must be
-    read ``whole``, by one task per file. A last record that an interrupted run
-    left unfinished is not a book, so its file is scanned again; any other
-    record that can't be read fails the run.
+    An ``object`` file is split at its entries, however it is formatted, and read
+    into a table at once. A last entry that an interrupted run left unfinished is
+    not a book, so its file is scanned again; any other entry that can't be read
+    fails the run.
     """
     if layout == "lines":
         return spark.read.schema(BOOK).option("mode", "FAILFAST").json(path)
@@ -132,35 +118,15 @@ def read_books(spark: SparkSession, path: str, layout: str = "lines", whole: boo
         return _read_buckets(spark, path)
     if layout != "object":
         raise ValueError(f"unknown layout: {layout}")
-    if whole:
-        entries = T.MapType(T.StringType(), BOOK)
-        return (
-            spark.read.text(path, wholetext=True)
-            .select(F.explode(F.from_json("value", entries)).alias("key", "book"))
-            .select("book.*")
-        )
-    body = F.regexp_extract("value", _RECORD, 1)
-    body = F.concat(F.rtrim(body, F.lit("} \t\r\n")), F.lit("}"))
-    records = spark.read.text(path, lineSep=_RECORD_BREAK).select(
-        F.from_json(body, BOOK).alias("book"), "value", F.col("_metadata.file_path").alias("file")
-    )
-    _refuse_unreadable(records)
-    return records.where(F.col("book.filepath").isNotNull()).select("book.*")
-
-
-def _refuse_unreadable(records: DataFrame) -> None:
-    """Fail unless all records can be read, but for an unfinished last one of a file."""
-    empty = F.col("value").rlike(r"^[\s{}]*$")
-    unreadable = (F.col("book.filepath").isNull() & ~empty) | F.col("value").rlike(_LIKE_A_BREAK)
-    closed = F.col("value").rlike(r"\}\s*$")
-    bad = (
-        records.groupBy("file")
-        .agg(F.count_if(unreadable).alias("n"), F.bool_or(closed).alias("closed"))
-        .where((F.col("n") > 1) | ((F.col("n") == 1) & F.col("closed")))
-        .select("file").first()
+    entries = object_entries(spark, path).withColumn("value", F.col("value").cast("string"))
+    read = entries.where(F.col("value").rlike(r"\S")).select(
+        "file", "done", F.from_json(F.regexp_extract("value", _ENTRY, 1), BOOK).alias("book")
     )
-    if bad is not None:
-        raise ValueError(f"unreadable records in {bad.file}: mend it or read it whole")
+    unreadable = F.col("done") & F.col("book.filepath").isNull()
+    books, seen = materialize(read, "object-books", bad=F.min(F.when(unreadable, F.col("file"))))
+    if seen["bad"] is not None:
+        raise ValueError(f"unreadable entries in {seen['bad']}")
+    return books.where(F.col("book.filepath").isNotNull()).select("book.*")
 
 
 def read_responses(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:

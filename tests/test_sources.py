@@ -1,4 +1,6 @@
 import json
+import random
+from pathlib import Path
 
 import pytest
 from pyspark.errors import AnalysisException
@@ -10,6 +12,7 @@ from colophon.operators import identify
 from colophon.operators.incremental import drop_failed, emit_once, skip_processed
 from colophon.sources import books as io
 from colophon.sources import files as src
+from colophon.sources.json_object import object_entries
 from colophon.sources.shared import materialize, shared_dir
 from tests.helpers import body, books, by_path, plan_of, responses, rows_of
 
@@ -148,7 +151,7 @@ def test_object_keys_of_any_store(spark, stores, tmp_path):
     assert as_json(io.read_books(spark, path, layout="object")) == as_json(stores)
 
 
-@pytest.mark.parametrize("bad", ['{"/a": {"title": 1,"/b": {"title":"x","filepath":"/b"},"/c": {"title":"y","filepath":"/c"}}', '{"/a": {"filepath":"/a"}, "/b": {"filepath":"/b"}}'])
+@pytest.mark.parametrize("bad", ['{"/a": {"title": 1,"/b": {"title":"x","filepath":"/b"},"/c": {"title":"y","filepath":"/c"}}', '{"/a": {"filepath":"/a"}, "/b": {"title":"/b"}}', '{"/a": 5, "/b": {"filepath":"/b"}}'])
 def test_unreadable_records_fail_the_run(spark, tmp_path, bad):
     (tmp_path / "books.json").write_text(bad)
     with pytest.raises(ValueError):
@@ -234,11 +237,66 @@ def test_unfinished_output(spark, tmp_path):
     assert by_path(io.read_books(spark, str(tmp_path / "cut.json"), "object"), "title") == {"/b/a.pdf": "A"}
 
 
-def test_reformatted_object_is_read_whole(spark, tmp_path):
+def test_reformatted_object(spark, tmp_path):
     entries = {"a.pdf": {"title": "A", "filepath": "a.pdf"}, "/b/c.pdf": {"title": "", "filepath": "/b/c.pdf", "error": "e"}}
-    (tmp_path / "books.json").write_text(json.dumps(entries, indent=2))
-    read = io.read_books(spark, str(tmp_path / "books.json"), "object", whole=True)
-    assert by_path(read, "error") == {"a.pdf": None, "/b/c.pdf": "e"}
+    for k, (indent, separators) in enumerate(((2, None), ("\t", (" ,", " : ")), (None, None))):
+        path = tmp_path / f"books{k}.json"
+        path.write_text(json.dumps(entries, indent=indent, separators=separators))
+        read = io.read_books(spark, str(path), "object")
+        assert by_path(read, "error") == {"a.pdf": None, "/b/c.pdf": "e"}
+
+
+def random_object(rng, n):
+    """Keys and nested values full of signs that only count outside of strings."""
+
+    def text():
+        return "".join(rng.choice('\\\\"{}[],: \nax\u00e9') for _ in range(rng.randrange(9)))
+
+    def value(deep):
+        kind = rng.randrange(4 if deep else 2)
+        if kind < 2:
+            return text() if kind else rng.randrange(99)
+        return [value(deep - 1) for _ in range(3)] if kind == 2 else {text(): value(deep - 1) for _ in range(3)}
+
+    return {f"{i}{text()}": value(3) for i in range(n)}
+
+
+def test_entries_for_every_cut(spark, tmp_path):
+    """Blocks of a few bytes, groups of three: the entries are those of the whole text."""
+    rng = random.Random(4)
+    want = {}
+    for k in range(40):
+        made = random_object(rng, rng.randrange(7))
+        written = json.dumps(made, indent=rng.choice([None, 1, 4]), ensure_ascii=rng.random() < 0.5)
+        (tmp_path / f"{k}.json").write_text(written, encoding="utf-8")
+        want[f"{k}.json"] = made
+    for block in (1, 3, 8, 1 << 20):
+        got = {k: {} for k in want}
+        for r in object_entries(spark, str(tmp_path), block, 3).collect():
+            assert r.done
+            got[Path(r.file).name].update(json.loads(b"{" + r.value + b"}"))
+        assert got == want
+
+
+def test_entries_of_a_file_cut_anywhere(spark, tmp_path):
+    """Whole entries before the cut are found, nothing behind it is called done."""
+    whole = json.dumps({"a": {"x": "}" + 2 * chr(92)}, "b,": {"y": [chr(34), {}]}, "c": {}})
+    for k in range(1, len(whole)):
+        (tmp_path / f"{k:03}.json").write_text(whole[:k])
+    got = {k: [] for k in range(1, len(whole))}
+    for r in object_entries(spark, str(tmp_path), 7, 3).where("done and trim(string(value)) != ''").collect():
+        got[int(Path(r.file).stem)].append(json.loads(b"{" + r.value + b"}"))
+    ends = [k for k in range(1, len(whole)) if _top(whole[:k])]
+    assert len(ends) == 3
+    assert {k: len(found) for k, found in got.items()} == {k: sum(e <= k for e in ends) for k in got}
+
+
+def _top(text):
+    """Does the text end with the end of an entry's value?"""
+    try:
+        return text.endswith("}") and isinstance(json.loads(text + "}"), dict)
+    except ValueError:
+        return False
 
 
 def test_responses_and_writers(spark, tmp_path, shelf):
