@@ -80,26 +80,20 @@ def _read_buckets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _write_object(books: DataFrame, path: str, key_mode: str) -> None:
+    """One record alone opens the document; the others follow in no order, a comma before each."""
     spark = books.sparkSession
-    # a number tells repeated paths apart: one record alone opens the document
-    numbered = books.select(*BOOK.fieldNames(), F.monotonically_increasing_id().alias("n"))
-    books, _ = materialize(numbered, "books")
-    # Ends of the document sort around the records. Each value goes without its
-    # last brace: the text writer adds it as the "line" end.
+    # Each value goes without its last brace: the text writer adds it as the "line" end.
     entry = F.concat(object_key(F.col("filepath"), key_mode), F.lit(": "), F.rtrim(book_json(), F.lit("}")))
-    first = books.agg(F.min(F.struct("filepath", "n")).alias("r")).first().r
-    opens = F.lit(False) if first is None else F.col("n") == first.n
-    opening = F.when(opens, "{").otherwise(",")
-    records = books.select(
-        F.lit(1).alias("place"), "filepath", "n", F.concat(opening, entry).alias("value")
-    )
-    ends = [(2, "", 0, "")] if first is not None else [(2, "", 0, "{")]
-    document = records.unionByName(
-        spark.createDataFrame(ends, "place int, filepath string, n long, value string")
-    )
-    document.orderBy("place", "filepath", "n").select("value").write.mode("errorifexists").option(
-        "lineSep", "}"
-    ).text(path)
+    # a number tells repeated records apart
+    numbered = books.select(entry.alias("entry"), F.monotonically_increasing_id().alias("n"))
+    entries, _ = materialize(numbered, "entries")
+    first = entries.first()
+    ends = [["{"], []] if first is None else [["{" + first.entry], [""]]
+    head, tail = (spark.createDataFrame([(v,) for v in end], "value string").coalesce(1) for end in ends)
+    rest = entries.where(F.lit(False) if first is None else F.col("n") != first.n)
+    # a union keeps the order of its parts, and part files are named in it
+    document = head.unionByName(rest.select(F.concat(F.lit(","), "entry").alias("value"))).unionByName(tail)
+    document.write.mode("errorifexists").option("lineSep", "}").text(path)
 
 
 def read_books(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:

@@ -203,11 +203,25 @@ def test_object_parts_are_one_document(spark, shelf, tmp_path):
     io.write_books(shelf.repartition(4), str(path), layout="object")
     document = b"".join(p.read_bytes() for p in sorted(path.glob("part-*")))
     parsed = json.loads(document)
-    assert list(parsed) == sorted(r.filepath for r in shelf.collect())
+    assert set(parsed) == {r.filepath for r in shelf.collect()}
     assert parsed["/b/plain.pdf"] == {"title": "T", "authors": ["x", "y"], "isbn13": A, "filepath": "/b/plain.pdf"}
     assert parsed["/b/fail.pdf"] == {"title": "", "filepath": "/b/fail.pdf", "error": "no texts extracted"}
 
 
+def test_object_is_written_by_all_tasks_or_not_at_all(spark, tmp_path):
+    many = spark.range(0, 3000, 1, 6).selectExpr("concat('/b/', id % 1500, '.pdf') filepath", "'T' title")
+    path = tmp_path / "out"
+    io.write_books(books(spark, {"filepath": "/x"}).limit(0).unionByName(many, allowMissingColumns=True), str(path), "object")
+    parts = [p.read_text() for p in sorted(path.glob("part-*"))]
+    assert len([p for p in parts if len(p) > 1000]) >= 2
+    pairs = json.loads("".join(parts), object_pairs_hook=list)
+    assert len(pairs) == 3000 and len({k for k, _ in pairs}) == 1500
+    failing = many.withColumn("title", F.when(F.col("filepath") == "/b/1499.pdf", F.raise_error(F.lit("no"))).otherwise("T"))
+    with pytest.raises(Exception, match="no"):
+        io.write_books(books(spark, {"filepath": "/x"}).unionByName(failing, allowMissingColumns=True), str(tmp_path / "none"), "object")
+    assert not (tmp_path / "none").exists()
+
+
 def test_empty_object(spark, shelf, tmp_path):
     path = tmp_path / "out"
     io.write_books(shelf.limit(0), str(path), layout="object")
