@@ -25,6 +25,8 @@ from colophon.sources.shared import materialize
 TASK_BYTES = 1 << 30
 # A value of a table holds less than 2 GB: larger files fail, the run goes on.
 FILE_BYTES = (1 << 31) - (1 << 20)
+# The name of a written file in its folder.
+PART = "part-0.txt"
 UNREADABLE = "the file can't be read, or has more than 2 GB"
 
 Extractor = Callable[[DataFrame], DataFrame]
@@ -93,6 +95,54 @@ def _opener(most: int):
     return contents
 
 
+def _writer(root: str):
+    store_of = _store()
+
+    def write(batches):
+        import uuid
+
+        store, place, _ = store_of(root)
+        folder = out = temporary = None
+        files = 0
+
+        def close():
+            out.close()
+            store.move(temporary, f"{place}/{folder}/{PART}")
+
+        for batch in batches:
+            for name, text in zip(batch.column("folder").to_pylist(), batch.column("text").cast(pa.binary())):
+                if name != folder:
+                    if out is not None:
+                        close()
+                    folder, files = name, files + 1
+                    store.create_dir(f"{place}/{folder}")
+                    temporary = f"{place}/{folder}/{PART}.{uuid.uuid4().hex}"
+                    out = store.open_output_stream(temporary)
+                if text.is_valid:
+                    out.write(text.as_buffer())
+                out.write(b"\n")
+        if out is not None:
+            close()
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], ["files"])
+
+    return write
+
+
+def write_texts(texts: DataFrame, root: str) -> int:
+    """``(folder, text)`` as one file per folder below ``root``, a line per text; the number of files.
+
+    Tasks write them through Arrow, as files are read: Hadoop's local store without its
+    native library starts processes for every file. A file gets its name when it is whole, so a
+    task can run again.
+    """
+    store, place, _ = _store()(root)
+    store.create_dir(place)
+    # sorted, so that a task has one file open and holds no folder's texts
+    dealt = texts.select("folder", "text").repartition("folder").sortWithinPartitions("folder")
+    written = dealt.mapInArrow(_writer(root), "files long")
+    return written.agg(F.sum("files")).first()[0] or 0
+
+
 def absolute_root(root: str) -> str:
     """A root as an absolute path, or the URI of another store. It must exist."""
     from pyarrow import fs

@@ -104,6 +104,23 @@ def test_files_that_cannot_be_read_fail_alone(spark, tmp_path, monkeypatch):
     }
 
 
+def test_texts_are_written_one_file_a_folder(spark, tmp_path):
+    rows = [("page_id=1", "<p>\u00e9"), (".kept/page_id=7", None), ("page_id=1", "<p>\u00e9"), ("page_id=2", "")]
+    root = tmp_path / "out"
+    assert src.write_texts(spark.createDataFrame(rows, "folder string, text string"), str(root)) == 3
+    # nothing else lies there: no sums, no marks, no unfinished files
+    found = {str(p.relative_to(root)): p.read_text() for p in root.rglob("*") if p.is_file()}
+    assert found == {
+        "page_id=1/part-0.txt": "<p>\u00e9\n<p>\u00e9\n", ".kept/page_id=7/part-0.txt": "\n", "page_id=2/part-0.txt": "\n"
+    }
+    assert len(by_path(src.extract_files(spark, str(root))[0], "text")) == 3
+
+
+def test_no_texts_are_an_empty_folder(spark, tmp_path):
+    assert src.write_texts(spark.createDataFrame([], "folder string, text string"), f"file://{tmp_path}/none") == 0
+    assert src.scan_files(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_names_with_wildcards(spark, library):
     (library / "h[1]{x}*.txt").write_text("x")
     cache = books(spark, *[{"filepath": f"{library}/{n}"} for n in ("a.txt", "g.rst", "deep/b c.html", "deep/er/d.pdf")])

@@ -8,7 +8,7 @@ separator, response status).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Text length of a complete file; shorter texts count as not extracted.
@@ -54,6 +54,15 @@ from orders left join terms on o_orderkey=l_orderkey
 """
 
 
+def page_files(spark: SparkSession, sf_dir: str, hidden: Column | None = None) -> DataFrame:
+    """``(folder, text)``: the pages, each in a folder of its own; ``hidden`` ones below a hidden folder."""
+    folder = F.concat(F.lit("page_id="), F.coalesce(F.col("page_id").cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")))
+    if hidden is not None:
+        folder = F.when(hidden, F.concat(F.lit(".kept/"), folder)).when(~hidden, folder)
+    rows = table(spark, sf_dir, "pages").select(folder.alias("folder"), F.col("html").alias("text"))
+    return rows.where(F.col("folder").isNotNull())
+
+
 def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(VOLUMES_SQL.replace("from part", "from {part}"), part=table(spark, sf_dir, "part"))
 

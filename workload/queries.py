@@ -443,8 +443,7 @@ def responses_read(spark: SparkSession, sf: str) -> DataFrame:
 def two_extractors(spark: SparkSession, sf: str) -> DataFrame:
     """Every page as a file, read by two extractors of the caller's."""
     root = new_path(spark, "pages")
-    pages = wc.table(spark, sf, "pages").select("page_id", "html")
-    pages.repartition("page_id").write.partitionBy("page_id").text(root)
+    files.write_texts(wc.page_files(spark, sf), root)
 
     def size(contents: DataFrame) -> DataFrame:
         return contents.select("filepath", F.octet_length("content").cast("string").alias("text"))
