@@ -412,10 +412,8 @@ def file_scan(spark: SparkSession, sf: str) -> DataFrame:
     root is given relative to the working folder, paths come back absolute.
     """
     root = new_path(spark, "pages").removeprefix("file://").removeprefix("file:")
-    pages = wc.table(spark, sf, "pages").select("page_id", "html")
     hidden = F.col("page_id") % 7 == 0
-    for place, rows in ((root, pages.where(~hidden)), (f"{root}/.kept", pages.where(hidden))):
-        rows.repartition("page_id").write.mode("append").partitionBy("page_id").text(place)
+    files.write_texts(wc.page_files(spark, sf, hidden), root)
     if root.startswith("/"):
         os.symlink(f"{root}/.kept", f"{root}/linked")
     given = os.path.relpath(root) if root.startswith("/") else root
