@@ -34,9 +34,13 @@ def nearest_item(items: Column, name: Column, mode: str = "levenshtein") -> Colu
 
 
 def nearest_over_chunks(matched: DataFrame, keys: list[str]) -> DataFrame:
-    """The nearest match per key where an ISBN's items fill several rows."""
+    """The nearest match per key where an ISBN's items fill several rows.
+
+    Nearly every key has one row, so combining before the shuffle would only sort every
+    row once more, in the tasks that already sort for the join.
+    """
     others = [c for c in matched.columns if c not in (*keys, "match")]
-    return matched.groupBy(*keys).agg(
+    return matched.repartition(*keys).groupBy(*keys).agg(
         F.min("match").alias("match"), *[F.first(c).alias(c) for c in others]
     )
 

@@ -8,6 +8,7 @@ from colophon.operators import collate, identify, incremental, lookup
 from colophon.operators.skew import hot_keys, salted_left_join
 from tests import brute
 from tests.helpers import VOLUMES, body, books, by_path, responses, rows_of, texts
+from workload import corpus as wc
 
 A, B, C = "9781718501263", "9781718501270", "1718501269"
 
@@ -280,3 +281,27 @@ def test_salted_join_deals_a_hot_key_over_tasks(spark):
             spark.conf.unset(k)
     assert sum(r["count"] for r in per_task) == 1000
     assert max(r["count"] for r in per_task) < 600
+
+
+@pytest.mark.parametrize("made", [wc.catalogue])
+def test_what_is_made_of_parts_is_dealt_over_tasks(spark, tmp_path, monkeypatch, made):
+    parts = [(k, f"part {k}", "Brand#1", "ECONOMY", k % 50) for k in range(60)] + [(7, None, None, "ECONOMY", None)] * 2
+    columns = "p_partkey long, p_name string, p_brand string, p_type string, p_size int"
+    spark.createDataFrame(parts, columns).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    one_task = made(spark, str(tmp_path))
+    expected = sorted(map(repr, one_task.collect()))
+    monkeypatch.setattr(wc, "TASK_PARTS", 10)
+    rows = made(spark, str(tmp_path)).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r.task for r in rows}) > 3
+    assert sorted(map(repr, made(spark, str(tmp_path)).collect())) == expected
+
+
+def test_chunks_are_combined_behind_the_shuffle(spark):
+    rows = [("f", 1, "a", (2, 5)), ("f", 1, "a", (1, 9)), ("f", 2, "b", None)]
+    matched = spark.createDataFrame(rows, "filepath string, ord int, isbn string, match struct<distance:int,ord:int>")
+    nearest = lookup.nearest_over_chunks(matched, ["filepath", "ord"])
+    assert sorted((r.ord, r.isbn, r.match and tuple(r.match)) for r in nearest.collect()) == [(1, "a", (1, 9)), (2, "b", None)]
+    plan = lookup.nearest_over_chunks(matched, ["filepath", "ord"])._jdf.queryExecution().executedPlan().toString()
+    # the root comes first: all aggregation and its sort above the one shuffle
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.index("Exchange hashpartitioning") > max(plan.rindex("Aggregate"), plan.rindex("Sort ["))

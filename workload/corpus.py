@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 # Text length of a complete file; shorter texts count as not extracted.
 FULL_TEXT = 600
 
+# Parts whose volumes one task makes into responses or a catalogue, about.
+TASK_PARTS = 50_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -67,6 +70,17 @@ def volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(VOLUMES_SQL.replace("from part", "from {part}"), part=table(spark, sf_dir, "part"))
 
 
+def _dealt_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The volumes, dealt over tasks by their number.
+
+    The table of parts is a few bytes a row, so one task reads millions of them, and what is
+    made of a part is a hundred times its size.
+    """
+    number = table(spark, sf_dir, "part").count() // TASK_PARTS + 1
+    rows = volumes(spark, sf_dir)
+    return rows if number == 1 else rows.repartition(number, "p_partkey")
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql = LINES_SQL.replace("from lineitem join volumes", "from {lineitem} join {volumes}")
     return spark.sql(sql, lineitem=table(spark, sf_dir, "lineitem"), volumes=volumes(spark, sf_dir))
@@ -164,7 +178,7 @@ def library_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table of volumes; each ISBN is carried by two editions."""
-    v = volumes(spark, sf_dir)
+    v = _dealt_volumes(spark, sf_dir)
     identifiers = F.array(
         F.struct(F.lit("isbn_10").alias("type"), F.col("isbn10").alias("identifier")),
         F.struct(F.lit("ISBN_13").alias("type"), F.col("isbn13").alias("identifier")),
