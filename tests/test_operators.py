@@ -283,7 +283,7 @@ def test_salted_join_deals_a_hot_key_over_tasks(spark):
     assert max(r["count"] for r in per_task) < 600
 
 
-@pytest.mark.parametrize("made", [wc.catalogue])
+@pytest.mark.parametrize("made", [wc.responses, wc.library_responses, wc.catalogue])
 def test_what_is_made_of_parts_is_dealt_over_tasks(spark, tmp_path, monkeypatch, made):
     parts = [(k, f"part {k}", "Brand#1", "ECONOMY", k % 50) for k in range(60)] + [(7, None, None, "ECONOMY", None)] * 2
     columns = "p_partkey long, p_name string, p_brand string, p_type string, p_size int"

@@ -143,7 +143,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.when(F.col("total_items") > 0, works).alias("items"),
         )
     )
-    return volumes(spark, sf_dir).select(
+    return _dealt_volumes(spark, sf_dir).select(
         F.lit("google").alias("provider"),
         F.explode(F.array("isbn10", "isbn13")).alias("isbn"),
         "status",
@@ -154,7 +154,7 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 def library_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A second provider that knows only ECONOMY parts and fails on large ones."""
     return (
-        volumes(spark, sf_dir)
+        _dealt_volumes(spark, sf_dir)
         .where(F.col("p_type") == "ECONOMY")
         .select(
             F.lit("library").alias("provider"),
