@@ -66,7 +66,7 @@ def _keys(found: words.Words) -> np.ndarray:
 
 def _fingerprints(sizes: list[int], window: int, gram: int, whole_only: bool):
     def of(batches):
-        for rows, data, at in words.slices(batches):
+        for rows, data, at in words.slices(batches, words.STREAM_BYTES):
             found = words.split(data, at, words.ALNUM)
             if not len(found.hash):
                 continue
@@ -103,7 +103,7 @@ def _batch(ids, keys, found, fp, size, lo, hi, hashed) -> pa.RecordBatch:
 
 
 def _counts(batches):
-    for rows, data, at in words.slices(batches):
+    for rows, data, at in words.slices(batches, words.STREAM_BYTES):
         found = words.split(data, at, words.ALNUM)
         yield pa.RecordBatch.from_arrays(
             [rows.column("doc_id"), pa.array(_keys(found)), pa.array(np.diff(found.first))],
@@ -113,7 +113,7 @@ def _counts(batches):
 
 def _short_sizes(window: int):
     def of(batches):
-        for _, data, at in words.slices(batches):
+        for _, data, at in words.slices(batches, words.STREAM_BYTES):
             count = np.diff(words.split(data, at, words.ALNUM).first)
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(count[(count > 0) & (count < window)]))], ["n"])
 

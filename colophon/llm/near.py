@@ -91,7 +91,7 @@ def _lists(rows: np.ndarray) -> pa.Array:
 
 def _describe(shingle: int):
     def of(batches):
-        for rows, data, at in words.slices(batches):
+        for rows, data, at in words.slices(batches, words.STREAM_BYTES):
             hashed, first = shingle_sets(data, at, shingle)
             coordinates = sketch.sketches(hashed, first, SIZE)
             yield pa.RecordBatch.from_arrays(
@@ -110,7 +110,7 @@ def _describe(shingle: int):
 
 def _whole_sets(shingle: int):
     def of(batches):
-        for rows, data, at in words.slices(batches):
+        for rows, data, at in words.slices(batches, words.STREAM_BYTES):
             hashed, first = shingle_sets(data, at, shingle)
             yield pa.RecordBatch.from_arrays(
                 [

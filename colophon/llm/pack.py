@@ -24,6 +24,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections import defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -61,8 +62,12 @@ class _Ids(dict):
 
 
 def encoder(vocabulary: str = VOCABULARY):
-    """Text to the bytes of its ids, those of the vocabulary's ``tokenizers`` file."""
+    """Text to the bytes of its ids, those of the vocabulary's ``tokenizers`` file.
+
+    That file is loaded only when a text needs it: it takes more memory than the rest.
+    """
     import base64
+    import json
 
     import public_tokenizers as files
     import tiktoken
@@ -71,13 +76,14 @@ def encoder(vocabulary: str = VOCABULARY):
     with open(files.path(f"{vocabulary}.tiktoken"), "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     plain = tiktoken.Encoding(vocabulary, pat_str=files.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    exact = Tokenizer.from_file(files.path(f"{vocabulary}.json"))
-    special = [t.content for t in exact.get_added_tokens_decoder().values()]
+    with open(files.path(f"{vocabulary}.json"), encoding="utf-8") as f:
+        special = [t["content"] for t in json.load(f)["added_tokens"]]
+    exact = lru_cache(maxsize=1)(lambda: Tokenizer.from_file(files.path(f"{vocabulary}.json")))
     cache = _Ids(plain)
 
     def encode(text: str) -> bytes:
         if any(s in text for s in special):
-            return np.array(exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return np.array(exact().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         head, *rest = text.split(" ")
         if not head or head[0].isspace() or head[-1].isspace():
             return np.array(plain(text), "<u4").tobytes()

@@ -212,7 +212,7 @@ def _masker(model: crf.Model):
         lookup = crf.Lookup(model.keys)
         for array in arrays:
             out, done = [], 0
-            for rows, data, at in words.slices([pa.RecordBatch.from_arrays([array], ["text"])]):
+            for rows, data, at in words.slices([pa.RecordBatch.from_arrays([array], ["text"])], words.STREAM_BYTES):
                 base, added = tagging.found(patterns, model, lookup, data, at, plausible)
                 for doc in sorted(base.keys() | added.keys()):
                     raw, cut, last = data[at[doc] : at[doc + 1]].tobytes(), [], 0

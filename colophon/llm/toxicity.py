@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colophon.llm.tables import documents_of, table
-from colophon.llm.words import _BYTE_POWERS, distinct, slices
+from colophon.llm.words import _BYTE_POWERS, STREAM_BYTES, distinct, slices
 
 LENGTHS = (4, 5)
 BITS = 20
@@ -106,7 +106,7 @@ class Rows(NamedTuple):
 def _emit_model(batches):
     """The fit on all rows of the one task: a row of weights and intercept."""
     blocks = []
-    for rows, data, at in slices(batches):
+    for rows, data, at in slices(batches, STREAM_BYTES):
         owner, column = features(data, at)
         first = np.searchsorted(owner, np.arange(rows.num_rows + 1))
         blocks.append(Rows(rows.column("label").to_numpy().astype(np.float64), column, first))
@@ -209,7 +209,7 @@ def _scorer(model: Model):
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for array in texts:
             out = []
-            for rows, data, at in slices([pa.RecordBatch.from_arrays([array], ["text"])]):
+            for rows, data, at in slices([pa.RecordBatch.from_arrays([array], ["text"])], STREAM_BYTES):
                 total = np.full(rows.num_rows, model.intercept)
                 if model.weights is not None:
                     owner, column = features(data, at)

@@ -2,7 +2,8 @@
 
 Texts are handled in slices of whole documents of about ``SLICE_BYTES``, so that
 memory is bounded by that or by the longest document, whatever the size of an
-Arrow batch. A null text has no bytes and so no words.
+Arrow batch; steps that need nothing of a slice but its rows take the smaller
+``STREAM_BYTES``. A null text has no bytes and so no words.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES, STREAM_BYTES = 1 << 21, 1 << 19
 _BLOCK = 1 << 18
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64

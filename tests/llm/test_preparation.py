@@ -1,8 +1,11 @@
 import hashlib
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers as files
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -509,3 +512,43 @@ def test_pipeline(spark, sf, hard, small):
     assert {r.doc_id for r in out} == {i for i, _ in left} - hit
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, hard.withColumn("n_chars", F.length("text")), sf).columns == [*hard.columns, "n_chars"], name
+
+
+@pytest.mark.parametrize("reader, most", [("describe", 25), ("sets", 14), ("fingerprints", 25), ("model", 37)])
+def test_a_large_batch_takes_little_memory(reader, most, monkeypatch):
+    text = " ".join(f"word{i * i % 7919}" for i in range(1000))
+    texts = pa.array([f"{i} {text}" for i in range(600)])
+    columns = {"doc_id": pa.array(range(600)), "id": pa.array(range(600)), "label": pa.array(np.arange(600) % 2), "text": texts}
+    batch = pa.RecordBatch.from_pydict(columns)
+    read = {
+        "describe": near._describe(5),
+        "sets": near._whole_sets(5),
+        "fingerprints": decontaminate._fingerprints([], 10, 5, False),
+        "model": toxicity._emit_model,
+    }[reader]
+    monkeypatch.setattr(toxicity, "STEPS", 1)
+    tracemalloc.start()
+    for _ in read(iter([batch])):
+        pass
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < most
+
+
+def test_tokenizers_file_is_loaded_only_for_special_tokens(monkeypatch):
+    import tokenizers
+
+    loaded, load = [], tokenizers.Tokenizer.from_file
+
+    class Counted:
+        @staticmethod
+        def from_file(path):
+            loaded.append(path)
+            return load(path)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counted)
+    encode = pack.encoder()
+    assert encode("plain words") and not loaded
+    text = "before <|endoftext|> behind"
+    want = load(files.path(f"{pack.VOCABULARY}.json")).encode(text, add_special_tokens=False).ids
+    assert [encode(text), encode(text)] == [np.array(want, "<u4").tobytes()] * 2 and len(loaded) == 1
