@@ -96,6 +96,7 @@ def lookup(
         ["provider_ord", "isbn"],
         hot,
         F.struct("filepath", "ord"),
+        shuffled=True,  # answers are parsed: their size is not that of the table behind them
     )
     not_answered = F.col("failed").isNull() & F.col("missing_fails")
     matched = found.select(

@@ -28,15 +28,16 @@ def hot_keys(
 
 
 def salted_left_join(
-    many: DataFrame, one: DataFrame, on: list[str], hot: DataFrame | None, spread: Column
+    many: DataFrame, one: DataFrame, on: list[str], hot: DataFrame | None, spread: Column, shuffled: bool = False
 ) -> DataFrame:
     """``many LEFT JOIN one`` where hot keys are dealt over several tasks.
 
     ``spread`` deals the rows of a hot key; the few rows that ``one`` has for
-    the key are repeated for every part. ``hot`` is bounded by MAX_HOT_KEYS.
+    the key are repeated for every part. ``hot`` is bounded by MAX_HOT_KEYS. With
+    ``shuffled``, ``one`` is never broadcast, however small Spark takes it to be.
     """
     if hot is None:
-        return many.join(one, on, "left")
+        return many.join(one.hint("merge") if shuffled else one, on, "left")
     hot_on = [c for c in hot.columns if c != "parts"]
     dealt = F.pmod(F.xxhash64(spread), "parts").cast("int")
     many = many.join(F.broadcast(hot), hot_on, "left").withColumn(
@@ -45,5 +46,6 @@ def salted_left_join(
     one = one.join(F.broadcast(hot), hot_on, "left").withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
     )
-    joined = many.drop("parts").join(one.drop("parts"), [*on, "salt"], "left")
+    one = one.drop("parts")
+    joined = many.drop("parts").join(one.hint("merge") if shuffled else one, [*on, "salt"], "left")
     return joined.drop("salt")

@@ -305,3 +305,17 @@ def test_chunks_are_combined_behind_the_shuffle(spark):
     # the root comes first: all aggregation and its sort above the one shuffle
     assert plan.count("Exchange hashpartitioning") == 1
     assert plan.index("Exchange hashpartitioning") > max(plan.rindex("Aggregate"), plan.rindex("Sort ["))
+
+
+@pytest.mark.parametrize("dealt", [False, True])
+def test_answers_are_never_sent_whole_to_every_task(spark, dealt):
+    asked = terms(spark, [("/x/a.pdf", n, "isbn13", A) for n in range(20)] + [("/x/b.pdf", 0, "isbn13", B)])
+    found = an.response_answers(responses(spark, [(A, 200, body("a", "b")), (C, 200, body("c"))]), "p")
+    counts = asked.groupBy("isbn").agg(F.count(F.lit(1)).alias("n"))
+    hot = hot_keys(counts, 21, min_rows=5) if dealt else None
+    got = lookup.lookup(asked, found, [("p", "error")], hot=hot)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1
+    assert plan.count("BroadcastHashJoin") == (2 if dealt else 0)  # the few hot keys, to both sides
+    rows = got.select("filepath", "ord", "failed", "item.title").collect()
+    assert sorted(map(tuple, rows)) == [("/x/a.pdf", n, False, "a") for n in range(20)] + [("/x/b.pdf", 0, True, None)]
